@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.operators.hierarchy import descendants, resolve_hierarchy
 from lodegraph.operators.latest import latest, trimmed
+from lodegraph.operators.snapshots import content_hash, numeric_entries, snapshot_changes
 from lodegraph.operators.topn import top_n_per_group
 from lodegraph.workspace import table
 
@@ -26,7 +28,38 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heaviest(spark, sf_dir).select("repo", "language", "rule_group", "violation_id", "weight", "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked}
+def _hierarchy(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
+    rows = latest(table(spark, sf_dir, "nodes").select("repo", "id", "seen_at", "node_key", "parent", "name"), ["repo", "id"], "seen_at")
+    rows = rows.withColumn("parent", F.regexp_replace(trimmed(F.col("parent")), "/+$", ""))
+    above = rows.select(F.col("repo").alias("p_repo"), F.col("id").alias("p_id"), F.col("node_key").alias("parent_key"))
+    rows = rows.join(above, (F.col("repo") == F.col("p_repo")) & (F.col("parent") == F.col("p_id")) & (F.col("parent") != ""), "left")
+    return resolve_hierarchy(rows, "node_key", "parent_key", **more)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes from which following parents never reaches a root."""
+    return _hierarchy(spark, sf_dir).filter("not rooted").select(F.col("id").alias("node_key"))
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, depth, path of names and number of descendants of every node."""
+    out = _hierarchy(spark, sf_dir, name="name")
+    return out.select(F.col("id").alias("node_key"), F.col("root").alias("root_key"), "depth", "path", "n_descendants")
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a node and a node below it."""
+    return descendants(_hierarchy(spark, sf_dir, lineage=True)).select(F.col("ancestor").alias("ancestor_key"), F.col("descendant").alias("descendant_key"), "distance")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was added, removed or changed from one snapshot of a repo to its next."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    content = content_hash(F.col("kind"), F.col("path"), zero("loc"), zero("items"), F.coalesce(F.col("visibility"), F.lit("")), numeric_entries(F.col("attrs")))
+    return snapshot_changes(table(spark, sf_dir, "node_snapshots"), ["repo"], "snap_no", ["id"], content, "ingested_at")
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found}
 
 _P1 = r"""
 WITH d AS (
@@ -39,7 +72,43 @@ WITH d AS (
 )
 """
 
+_P2 = r"""
+WITH RECURSIVE n AS (
+  SELECT repo, id, node_key, name, regexp_replace(regexp_replace(parent, '^\s+|\s+$', '', 'g'), '/+$', '') AS parent
+  FROM nodes QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY seen_at DESC, node_key DESC) = 1
+), e AS (
+  SELECT n.node_key, n.name, p.node_key AS parent_key FROM n LEFT JOIN n p ON n.repo = p.repo AND n.parent = p.id AND n.parent <> ''
+), t AS (
+  SELECT node_key, node_key AS root_key, 0 AS depth, coalesce(name, '') AS path, [node_key] AS lineage FROM e WHERE parent_key IS NULL
+  UNION ALL
+  SELECT e.node_key, t.root_key, t.depth + 1, t.path || '/' || coalesce(e.name, ''), list_append(t.lineage, e.node_key) FROM e JOIN t ON e.parent_key = t.node_key
+), pairs AS (
+  SELECT unnest(lineage) AS ancestor_key, generate_subscripts(lineage, 1) AS place, node_key AS descendant_key, depth FROM t
+), below AS (
+  SELECT ancestor_key, count(*) - 1 AS n FROM pairs GROUP BY 1
+)
+"""
+
+_P5 = r"""
+WITH r AS (
+  SELECT *, list_sort(map_entries(coalesce(CAST(CAST(attrs AS JSON) AS MAP(VARCHAR, DOUBLE)), MAP {}))) AS entries
+  FROM node_snapshots QUALIFY row_number() OVER (PARTITION BY repo, snap_no, id ORDER BY ingested_at DESC) = 1
+), s AS (
+  SELECT repo, snap_no, lag(snap_no) OVER (PARTITION BY repo ORDER BY snap_no) AS before FROM (SELECT DISTINCT repo, snap_no FROM r)
+), b AS (SELECT s.repo, s.snap_no, r.id, r.kind, r.path, r.loc, r.items, r.visibility, r.entries FROM s JOIN r ON r.repo = s.repo AND r.snap_no = s.before),
+c AS (SELECT r.repo, r.snap_no, r.id, r.kind, r.path, r.loc, r.items, r.visibility, r.entries FROM s JOIN r USING (repo, snap_no) WHERE s.before IS NOT NULL)
+SELECT coalesce(b.repo, c.repo) AS repo, coalesce(b.snap_no, c.snap_no) AS snap_no, coalesce(b.id, c.id) AS id,
+  CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM b FULL JOIN c ON b.repo = c.repo AND b.snap_no = c.snap_no AND b.id = c.id
+WHERE b.id IS NULL OR c.id IS NULL OR b.kind IS DISTINCT FROM c.kind OR b.path IS DISTINCT FROM c.path OR coalesce(b.loc, 0) <> coalesce(c.loc, 0)
+  OR coalesce(b.items, 0) <> coalesce(c.items, 0) OR coalesce(b.visibility, '') <> coalesce(c.visibility, '') OR b.entries <> c.entries
+"""
+
 ORACLE = {
+    "p2_found": _P2 + "SELECT node_key FROM e WHERE node_key NOT IN (SELECT node_key FROM t)",
+    "p2_paths": _P2 + "SELECT e.node_key, root_key, depth, path, n AS n_descendants FROM e LEFT JOIN t USING (node_key) LEFT JOIN below ON e.node_key = ancestor_key",
+    "p2_descendants": _P2 + "SELECT ancestor_key, descendant_key, CAST(depth - place + 1 AS INTEGER) AS distance FROM pairs WHERE ancestor_key <> descendant_key",
+    "p5_found": _P5,
     "p1_found": _P1 + "SELECT violation_id FROM r WHERE rank <= 3",
     "p1_ranked": _P1 + "SELECT repo, language, rule_group, violation_id, weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
 }
