@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators.hierarchy import descendants, resolve_hierarchy
 from lodegraph.operators.latest import latest, trimmed
+from lodegraph.operators.nested import flat_tables
 from lodegraph.operators.snapshots import content_hash, numeric_entries, snapshot_changes
 from lodegraph.operators.topn import top_n_per_group
 from lodegraph.workspace import table
@@ -59,7 +62,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "node_snapshots"), ["repo"], "snap_no", ["id"], content, "ingested_at")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct elements of every readable report with the keys of their parents."""
+    tables = flat_tables(table(spark, sf_dir, "snapshot_docs"))
+    level, words = F.concat_ws("/", "language", "level"), F.concat_ws
+    rows = {
+        "git": ("git", F.lit("$"), F.when(F.col("commit") != "", F.col("commit"))),
+        "graph": ("graph", F.col("language"), F.col("level")),
+        "node": ("node", level, F.col("node")),
+        "edge": ("edge", level, words("|", *[F.coalesce(c, F.lit("")) for c in ("source", "target", "kind")])),
+        "cycle_node": ("cycle_node", F.concat(level, F.lit("#"), "cycle_no"), F.col("node")),
+        "principle": ("principle", F.col("language"), F.col("principle")),
+        "connection": ("connection", F.concat("language", F.lit(":"), "principle"), F.col("connection")),
+    }
+    parts = [tables[name].select("snap_id", F.lit(entity).alias("entity"), parent.alias("parent_key"), item.alias("item_key")) for name, (entity, parent, item) in rows.items()]
+    return reduce(DataFrame.unionByName, parts).filter("parent_key is not null and item_key is not null").distinct()
+
+
+def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all reports as a flat table."""
+    return flat_tables(table(spark, sf_dir, "snapshot_docs"))["node"].drop("attributes")
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
 
 _P1 = r"""
 WITH d AS (
