@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.operators.drift import read_drifting
 from lodegraph.operators.hierarchy import descendants, resolve_hierarchy
 from lodegraph.operators.latest import latest, trimmed
 from lodegraph.operators.nested import flat_tables
@@ -55,6 +56,21 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(_hierarchy(spark, sf_dir, lineage=True)).select(F.col("ancestor").alias("ancestor_key"), F.col("descendant").alias("descendant_key"), "distance")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a field from one file of a feed to its next."""
+    return read_drifting(table(spark, sf_dir, "drift_records"))[0]
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all files by kind, with one name and one type for each field."""
+    records = table(spark, sf_dir, "drift_records")
+    kinds = records.groupBy("feed_id").agg(F.min("record_kind").alias("record_kind"))
+    values = read_drifting(records)[1].join(kinds, "feed_id")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("unified", "value"))))
+    one = values.groupBy("record_kind", "feed_id", "file_no", "entity", "unified").agg(F.max("value").alias("value"))
+    return one.groupBy("record_kind", "feed_id", "file_no", "entity").agg(F.to_json(entries).alias("record"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was added, removed or changed from one snapshot of a repo to its next."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -84,7 +100,7 @@ def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tables(table(spark, sf_dir, "snapshot_docs"))["node"].drop("attributes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_unified": p3_unified, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
 
 _P1 = r"""
 WITH d AS (
