@@ -8,9 +8,24 @@ from pyspark.sql import functions as F
 from lodegraph.llm.leakage import leaked_items
 from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs
 from lodegraph.llm.mixing import mix_sources
+from lodegraph.llm.syntax import invalid_files, invalid_rates
 from lodegraph.workspace import table
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_rules"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are no valid file of their language."""
+    return _checked(spark, sf_dir).filter("not valid").select(F.col("id").alias("doc_id"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of invalid files by repo and language."""
+    return invalid_rates(_checked(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they contain a passage."""
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
@@ -36,7 +51,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 ORACLE = {
     "p8_found": r"""
