@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.handwritten import foreign_files
 from lodegraph.llm.leakage import leaked_items
 from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs
 from lodegraph.llm.mixing import mix_sources
@@ -12,6 +13,20 @@ from lodegraph.llm.syntax import invalid_files, invalid_rates
 from lodegraph.workspace import table
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_rules"), table(spark, sf_dir, "ignore_rules"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that nobody of their repo wrote by hand."""
+    return _judged(spark, sf_dir).filter("generated or minified or vendored or data or skipped or ignored").select(F.col("id").alias("doc_id"))
+
+
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source file with what speaks against handwork."""
+    return _judged(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_files(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_rules"))
 
@@ -51,7 +66,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 ORACLE = {
     "p8_found": r"""
