@@ -193,5 +193,5 @@ def interpolate(template: str, value: Callable[[str], Column | None], numeric: C
         if column is None:
             out.append(F.lit(f"{{{piece}}}" if i % 2 else piece))
         else:
-            out.append(F.coalesce(shown(column) if numeric(piece) else column.cast("string"), F.lit(f"{{{piece}}}")))
+            out.append(F.coalesce(shown(column.cast("double")) if numeric(piece) else column.cast("string"), F.lit(f"{{{piece}}}")))
     return F.concat(*out)

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 def truncated(x: Column) -> Column:
     """Null, non-finite and 0 give 0; from 1 on three decimals are kept, below three significant figures. Digits are cut off, not rounded."""
-    size = F.abs(x.cast("double"))
-    places = F.when(size >= 1, F.lit(1000.0)).otherwise(F.pow(F.lit(10.0), 2 - F.floor(F.log10(size)).cast("double")))
-    cut = F.floor(size * places).cast("double") / places
-    return F.when(size.isNull() | F.isnan(size) | (size == float("inf")) | (size == 0), F.lit(0.0)).otherwise(F.signum(x.cast("double")) * cut)
+
+    def cut(v: Column) -> Column:
+        size = F.abs(v)
+        places = F.when(size >= 1, F.lit(1000.0)).otherwise(F.pow(F.lit(10.0), 2 - F.floor(F.log10(size)).cast("double")))
+        whole = F.floor(size * places).cast("double") / places
+        return F.when(v.isNull() | F.isnan(v) | (size == float("inf")) | (size == 0), F.lit(0.0)).otherwise(F.signum(v) * whole)
+
+    # A one-element array binds the value, so that a formula is evaluated once however often it is read.
+    return F.get(F.transform(F.array(x.cast("double")), cut), F.lit(0))
 
 
 def present(x: Column, floor: float = 0.0) -> Column:
@@ -36,12 +41,12 @@ def abbreviated(x: Column) -> Column:
     size = F.abs(x)
     short = lambda unit, letter: F.concat(F.regexp_replace(F.format_string("%.1f", x / unit), r"\.0$", ""), F.lit(letter))
     plain = F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.format_string("%.2f", x), r"0$", ""))
-    return F.when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M")).when(size >= 1e3, short(1e3, "K")).otherwise(plain)
+    return F.when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M")).when(size >= 1e3, short(1e3, "K")).when(x.isNotNull(), plain)
 
 
 def shown(x: Column) -> Column:
     """A number in a message: whole ones without decimals, others with two."""
-    return F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.format_string("%.2f", x))
+    return F.when(x == F.floor(x), F.format_string("%.0f", x)).when(x.isNotNull(), F.format_string("%.2f", x))
 
 
 _UNITS = {"K": 10**3, "M": 10**6, "G": 10**9}
