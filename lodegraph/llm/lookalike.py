@@ -67,7 +67,7 @@ def mapped(text: Column) -> Column:
 
 def _case(plain: Column) -> Column:
     """The letters of a text as capital or not: what the collation below doesn't compare."""
-    marked = F.regexp_replace(F.regexp_replace(plain, "[^\\p{L}]+", ""), "\\p{Lu}", "\\u0001")
+    marked = F.regexp_replace(F.regexp_replace(plain, "[^\\p{L}]+", ""), "\\p{Lu}", "\u0001")
     return F.xxhash64(F.regexp_replace(marked, "[^\\u0001]", "a"))
 
 

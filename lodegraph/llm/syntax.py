@@ -29,6 +29,8 @@ def _plain(text: Column, language: Column) -> Column:
     neutral characters: so quotes in strings end them."""
     text = F.rtrim(text, F.lit(" \t\r\n\x0c"))
     joined = F.regexp_replace(text, r"\\\r?\n", " ")
+    # Texts in which a backslash is only itself.
+    joined = F.when(language == "csharp", F.regexp_replace(joined, r"(?<=[\s(=,+\[{:?!])(?:\$@|@\$|@)\"[^\"]*+\"", '""')).otherwise(joined)
     neutral = F.when(language == "go", F.regexp_replace(joined, r"\\[^`\n]", ESCAPED)).otherwise(F.regexp_replace(joined, r"\\[^\n]", ESCAPED))
     return F.when(F.contains(text, F.lit("\\")), neutral).otherwise(text)
 
@@ -219,7 +221,7 @@ def invalid_files(docs: DataFrame, rules: DataFrame, **columns: str) -> DataFram
     rows; a file is invalid with a token that its language doesn't have (a stray quote, a conflict
     marker), a pair of neighbouring tokens that the grammar doesn't permit, brackets that don't
     match, a statement that is none of its productions, or Python blocks that don't fit their
-    indentation. An empty text is valid, a null one neither (valid is null). Exact copies are examined once.
+    indentation. An empty or blank text is valid, a null one neither (valid is null). Exact copies are examined once.
     """
     files = source_files(docs, rules, **columns).filter(F.col("language").isin(*GRAMMARS)).withColumn("key", F.md5("text"))
     texts = files.filter("length(text) > 0").groupBy("key", "language").agg(F.min("text").alias("text"))
