@@ -1 +1 @@
-
+"""Writers of reports."""

@@ -1 +1 @@
-
+"""Readers of reports, configuration, files and source code."""
