@@ -145,7 +145,42 @@ WHERE b.id IS NULL OR c.id IS NULL OR b.kind IS DISTINCT FROM c.kind OR b.path I
   OR coalesce(b.items, 0) <> coalesce(c.items, 0) OR coalesce(b.visibility, '') <> coalesce(c.visibility, '') OR b.entries <> c.entries
 """
 
+def _listed(value: str) -> str:
+    """The elements of a JSON array; a bare value is a list of one, null is none."""
+    return f"CASE WHEN coalesce(json_type({value}), 'NULL') = 'NULL' THEN [] WHEN json_type({value}) = 'ARRAY' THEN CAST({value} AS JSON[]) ELSE [{value}] END"
+
+
+def _named(keys: str, value: str, key: str, source: str) -> str:
+    """(keys, name, o) of named objects, from a map or from a list of objects with their name under ``key``."""
+    mapped = f"SELECT {keys}, name, {value} -> name AS o FROM (SELECT {keys}, {value}, unnest(json_keys({value})) AS name FROM {source} WHERE json_type({value}) = 'OBJECT' AND coalesce(json_type({value} -> '{key}'), '') <> 'VARCHAR')"
+    listed = f"SELECT {keys}, x ->> '{key}' AS name, x AS o FROM (SELECT {keys}, unnest({_listed(value)}) AS x FROM {source} WHERE json_type({value}) = 'ARRAY' OR json_type({value} -> '{key}') = 'VARCHAR')"
+    return f"{mapped} UNION ALL {listed}"
+
+
+_P7 = f"""
+WITH d AS (SELECT DISTINCT snap_id, CASE WHEN json_valid(payload) THEN payload END AS t FROM snapshot_docs),
+s AS (SELECT snap_id, CASE json_type(t) WHEN 'OBJECT' THEN t WHEN 'VARCHAR' THEN CASE WHEN json_valid(CAST(t AS JSON) ->> '$') THEN CAST(t AS JSON) ->> '$' END END AS t FROM d),
+p AS (SELECT snap_id, CAST(t AS JSON) AS j, CAST(t AS JSON) -> 'languages' AS ls FROM s WHERE json_type(t) = 'OBJECT'),
+l0 AS ({_named("snap_id", "ls", "name", "p")}),
+l AS (SELECT snap_id, name AS language, o -> 'graphs' AS gs, o -> 'principles' AS ps FROM l0 WHERE json_type(o) = 'OBJECT'),
+g0 AS ({_named("snap_id, language", "gs", "level", "l")}),
+g AS (SELECT snap_id, language, language || '/' || name AS k, name, o FROM g0 WHERE json_type(o) = 'OBJECT'),
+c AS (SELECT snap_id, k, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM (SELECT snap_id, k, {_listed("(o -> 'cycles')")} AS cs FROM g)),
+r AS (SELECT snap_id, language, unnest({_listed("ps")}) AS p FROM l),
+e AS (SELECT snap_id, k, unnest({_listed("(o -> 'edges')")}) AS e FROM g)
+SELECT DISTINCT * FROM (
+  SELECT snap_id, 'git' AS entity, '$' AS parent_key, nullif(j -> 'git' ->> 'commit', '') AS item_key FROM p
+  UNION ALL SELECT snap_id, 'graph', language, name FROM g
+  UNION ALL SELECT snap_id, 'node', k, n ->> 'id' FROM (SELECT snap_id, k, unnest({_listed("(o -> 'nodes')")}) AS n FROM g)
+  UNION ALL SELECT snap_id, 'edge', k, concat(e ->> 'source', '|', e ->> 'target', '|', e ->> 'kind') FROM e
+  UNION ALL SELECT snap_id, 'cycle_node', k || '#' || i, m ->> '$' FROM (SELECT snap_id, k, i, unnest({_listed("(c -> 'nodes')")}) AS m FROM c)
+  UNION ALL SELECT snap_id, 'principle', language, p ->> 'id' FROM r
+  UNION ALL SELECT snap_id, 'connection', language || ':' || (p ->> 'id'), x ->> '$' FROM (SELECT snap_id, language, p, unnest({_listed("(p -> 'connections')")}) AS x FROM r)
+) WHERE parent_key IS NOT NULL AND item_key IS NOT NULL
+"""
+
 ORACLE = {
+    "p7_found": _P7,
     "p2_found": _P2 + "SELECT node_key FROM e WHERE node_key NOT IN (SELECT node_key FROM t)",
     "p2_paths": _P2 + "SELECT e.node_key, root_key, depth, path, n AS n_descendants FROM e LEFT JOIN t USING (node_key) LEFT JOIN below ON e.node_key = ancestor_key",
     "p2_descendants": _P2 + "SELECT ancestor_key, descendant_key, CAST(depth - place + 1 AS INTEGER) AS distance FROM pairs WHERE ancestor_key <> descendant_key",
