@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,8 @@ def _tables() -> tuple[str, str, dict[str, str]]:
 
 
 _SOURCE, _TARGET, _LIGATURES = _tables()
+#: Ligatures that are spelled out; others are left to the collation.
+_SPELLED = "ﬀﬁﬂﬃﬄﬅﬆĲĳǇǈǉǊǋǌǱǲǳ"
 #: Blanks of any width but line ends and tabs; characters that show nothing.
 _BLANK = "[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]"
 _HIDDEN = "[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\ufe00-\\ufe0f\\ufeff]"
@@ -60,7 +63,7 @@ def mapped(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, _HIDDEN, ""), _BLANK, " ")
     plain = F.translate(out, _SOURCE, _TARGET)
     for char, letters in _LIGATURES.items():
-        if char in "ﬀﬁﬂﬃﬄﬅﬆĲĳǇǈǉǊǋǌǱǲǳ":
+        if char in _SPELLED:
             plain = F.replace(plain, F.lit(char), F.lit(letters))
     return F.when(text.rlike("^[\\x00-\\x7f]*$"), text).otherwise(plain)
 
@@ -109,3 +112,19 @@ def lookalike_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     a, b = members.alias("a"), members.alias("b")
     pairs = a.join(b, (F.col("a.class_key") == F.col("b.class_key")) & (F.col("a.text_key") < F.col("b.text_key")))
     return pairs.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+
+
+def sql_form(text: str) -> str:
+    """SQL for one form of a text by the same tables, composed: what the collation compares, without a collation."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    hidden = "[" + "".join(_points(_HIDDEN)) + "]"
+    blank = "[" + "".join(_points(_BLANK)) + "]"
+    out = f"translate(regexp_replace(regexp_replace({text}, '{hidden}', '', 'g'), '{blank}', ' ', 'g'), {quote(_SOURCE)}, {quote(_TARGET)})"
+    for char, letters in _LIGATURES.items():
+        if char in _SPELLED:
+            out = f"replace({out}, {quote(char)}, {quote(letters)})"
+    return f"nfc_normalize(translate(nfc_normalize({out}), {quote(_SOURCE)}, {quote(_TARGET)}))"
+
+
+def _points(pattern: str) -> list[str]:
+    return [f"\\x{{{code}}}{dash}" for code, dash in re.findall(r"\\u([0-9a-f]{4})(-?)", pattern)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.handwritten import foreign_files
 from lodegraph.llm.leakage import leaked_items
-from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs
+from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs, sql_form
 from lodegraph.llm.mixing import mix_sources
 from lodegraph.llm.syntax import invalid_files, invalid_rates
 from lodegraph.workspace import table
@@ -69,6 +69,10 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 ORACLE = {
+    "p10_found": f"""
+WITH k AS (SELECT doc_id, text, {sql_form("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
+""",
     "p8_found": r"""
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 p AS (
