@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import numeric, paths
 from lodegraph.model import DERIVED, CheckDef, MetricDef, Principle
-from lodegraph.operators import diff, graph, hier, metrics, rank, rules
+from lodegraph.operators import diff, graph, hier, levels, metrics, rank, rules
 from lodegraph.operators.latest import latest
 from lodegraph.workspace import materialize, table
 
@@ -137,6 +137,13 @@ def _user_metrics(spark: SparkSession, sf_dir: str, *defs: MetricDef) -> DataFra
     return out.select("repo", "id", *[F.round(d.key, 6).alias(d.key) for d in defs]).filter(" or ".join(f"{d.key} is not null" for d in defs))
 
 
+def _functions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(functions with their parent's id, files)."""
+    rows = latest(table(spark, sf_dir, "nodes").select("repo", "id", "seen_at", "parent"), ["repo", "id"], "seen_at")
+    files, functions = levels.split_functions(rows)
+    return functions, files
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.lower("path").rlike(r"\.(md|markdown)$")).select("doc_id", "text")
 
@@ -223,5 +230,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "disjoint_ids": lambda s, d: graph.shared_ids(nodes_of(s, d).withColumn("language", F.col("repo")), [], "language"),
     "markdown_metrics": lambda s, d: markdown_lines(_docs(s, d)),
     "extension_owners": lambda s, d: table(s, d, "lang_rules").select("language", F.explode("extensions").alias("ext")).groupBy("ext").agg(F.count_distinct("language").alias("owners")),
+    "function_split": lambda s, d: levels.split_functions(nodes_of(s, d))[1].select("repo", "id"),
+    "orphan_functions": lambda s, d: levels.with_parent(*_functions(s, d), BY).select("repo", "id"),
+    "reachable": lambda s, d: levels.reachable(nodes_of(s, d).filter("kind = 'module'"), graph.flow_edges(edges_final(s, d)), BY),
+    "present_columns": lambda s, d: levels.present_columns(nodes_of(s, d), BY, ["kind", "external", "crate", "visibility", "items"]),
+    "used_roots": lambda s, d: levels.used_roots(nodes_of(s, d), BY),
     "abbreviations": lambda s, d: measured(s, d).filter("hk is not null").select("repo", "id", numeric.abbreviated(F.col("hk")).alias("shown")),
 }

@@ -179,6 +179,11 @@ ORACLE = {
     "upper_median": _BASE + "SELECT repo, list_sort(list(sloc))[CAST(floor(count(sloc) / 2) AS BIGINT) + 1] AS median FROM me WHERE sloc > 0 GROUP BY repo",
     "depth_extremes": _BASE + f"SELECT repo, CAST(max(CASE WHEN {_DIR} = '' THEN 0 ELSE len(string_split({_DIR}, '/')) END) AS INTEGER) AS file_depth, CAST(max(CASE WHEN coalesce(crate, '') = '' THEN 0 ELSE len(string_split(crate, '/')) END) AS INTEGER) AS crate_depth FROM me WHERE NOT ext GROUP BY repo",
     "neighbour_groups": _BASE + ", x AS (SELECT repo, id, coalesce(crate, '') AS crate, regexp_matches(path, '^[a-m]') AS inside FROM me WHERE NOT ext), y AS (SELECT e.repo, CASE WHEN b.inside THEN 'caller' ELSE 'dependency' END AS side, CASE WHEN b.inside THEN a.crate ELSE b.crate END AS crate, CASE WHEN e.kind = 'uses' THEN CASE WHEN b.inside THEN e.source ELSE e.target END END AS file FROM e JOIN x a ON a.repo = e.repo AND a.id = source JOIN x b ON b.repo = e.repo AND b.id = target WHERE a.inside <> b.inside), z AS (SELECT repo, side, crate, count(DISTINCT file) AS files FROM y GROUP BY ALL) SELECT * FROM z WHERE side = 'caller' OR NOT EXISTS (SELECT 1 FROM z q WHERE q.repo = z.repo AND q.crate = z.crate AND q.side = 'caller')",
+    "function_split": _BASE + "SELECT repo, id FROM n0 WHERE contains(id, '#')",
+    "orphan_functions": "WITH l AS (SELECT repo, id, parent FROM nodes QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY seen_at DESC, parent DESC NULLS LAST) = 1) SELECT a.repo, a.id FROM l a WHERE contains(a.id, '#') AND EXISTS (SELECT 1 FROM l b WHERE b.repo = a.repo AND NOT contains(b.id, '#') AND b.id = a.parent)",
+    "reachable": _BASE + ", w AS (SELECT repo, id FROM n0 WHERE kind = 'module' UNION SELECT w.repo, e.target FROM w JOIN e ON e.repo = w.repo AND e.source = w.id AND e.kind = 'uses') SELECT repo, id FROM w",
+    "present_columns": _BASE + "SELECT repo, unnest(['kind', 'external', 'crate', 'visibility', 'items']) AS column, unnest([count(kind), count(external), count(crate), count(visibility), count(items)]) AS rows FROM n0 GROUP BY repo",
+    "used_roots": _BASE + "SELECT DISTINCT repo, root FROM (SELECT repo, regexp_extract(id, '^\\{([^}]+)\\}', 1) AS root FROM n0 UNION ALL SELECT repo, 'target' FROM n0) WHERE root <> ''",
     "facts_join": "SELECT repo, source, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM edges GROUP BY ALL",
     "disjoint_ids": _BASE + "SELECT id FROM n1 WHERE NOT ext GROUP BY id HAVING count(DISTINCT repo) > 1",
     "extension_owners": "SELECT ext, count(DISTINCT language) AS owners FROM (SELECT language, unnest(extensions) AS ext FROM lang_rules) GROUP BY ext",

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table may be broadcast once its rows were counted.
@@ -51,6 +51,13 @@ def materialize(df: DataFrame, *, partition_files: int | None = None) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def materialize_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows for which a condition holds, counted while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
