@@ -90,6 +90,13 @@ def _aggregates_of(tree: Node) -> set[tuple[str, str, str]]:
     return own.union(*(_aggregates_of(a) for a in tree.args)) if tree.args else own
 
 
+def _with_graph(rows: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the values of their graph; without ``by`` there is one graph and one row of values."""
+    if by:
+        return rows.join(values, by, "left")
+    return rows.withColumn("_one", F.lit(1)).join(values.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+
+
 def check_hits(df: DataFrame, edges: DataFrame, by: list[str], checks: list[CheckDef], defs: dict[str, str] | None = None, omit_at: dict[str, float] | None = None) -> DataFrame:
     """Violations of users' checks on inner nodes.
 
@@ -122,12 +129,12 @@ def check_hits(df: DataFrame, edges: DataFrame, by: list[str], checks: list[Chec
         scope["siblings"] = Typed(F.col("siblings"), "list")
     if "files" in read or any(_reads(t, {"file_exists"}) for t in trees.values()):
         files = inner.groupBy(*by).agg(F.array_sort(F.collect_set("path")).alias("files"))
-        rows = rows.join(files, by, "left") if by else rows.crossJoin(F.broadcast(files))
+        rows = _with_graph(rows, files, by)
         scope["files"] = Typed(F.col("files"), "list")
     found: dict[tuple[str, str, str], str] = {}
     if wanted:
         values, found = aggregates(rows, by, sorted(wanted), omit_at)
-        rows = rows.join(values, by, "left") if by else rows.crossJoin(F.broadcast(values))
+        rows = _with_graph(rows, values, by)
     some = lambda lists, text: Typed(F.exists(lists, lambda d: F.contains(d, text.column)), "bool")
     functions = {
         "depends_on": lambda t: some(F.col("deps"), t),

@@ -134,6 +134,11 @@ def test_violations(spark):
     assert rules.exit_status(rules.threshold_violations(df, ["g"], {"sloc": 1e9})) == 0 and parse_cycle_rule(True) == 0 and parse_cycle_rule(False) is None
 
 
+def test_checks_of_a_single_graph(spark):
+    hits = rules.check_hits(_measured(spark).drop("g"), edges(spark, ("a", "b")).drop("g"), [], [CheckDef("c", "sloc >= agg('sloc', 'max', 'not_empty') && files.size() == 3", "m")])
+    assert [r["location"] for r in hits.collect()] == ["a"]
+
+
 def test_rankings(spark):
     df = _measured(spark)
     assert [(r["id"], r["rank"]) for r in rank.rank_by(df, ["g"], "hk", 2).orderBy("rank").collect()] == [("c", 1), ("a", 2)]
