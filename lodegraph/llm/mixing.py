@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodegraph.operators.latest import trimmed
 from lodegraph.workspace import materialize
@@ -135,8 +136,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text
     drawn = rows.join(F.broadcast(plan), "source").withColumn("times", _draws(F.col("id"), F.col("mean"), F.col("max_repeats"), seed).cast("int"))
     taken = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("times").alias("copies"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens_taken"))
     report = plan.join(taken, "source", "left").na.fill(0, ["documents", "tokens", "copies", "tokens_taken"])
-    everything = report.agg(F.sum("tokens_taken").alias("all_taken"))
-    report = report.crossJoin(F.broadcast(everything))  # one row
+    # The report has one row per target source.
+    report = report.withColumn("all_taken", F.sum("tokens_taken").over(Window.partitionBy()))
     report = report.select("source", "target_share", "max_repeats", "rate", "documents", "tokens", "copies", "tokens_taken", F.coalesce(F.try_divide("tokens_taken", "all_taken"), F.lit(0.0)).alias("actual_share"))
     copies = drawn.filter("times > 0").select("id", "source", "n_tokens", "text", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
     copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 1), "id", "copy"))
