@@ -2,7 +2,8 @@
 
 A grammar has token classes, pairs of classes that may stand side by side, and productions of
 top-level statements. Patterns are those of java.util.regex. None of them loops over a group
-with inner alternatives on the text itself, so that no text is too long for the lexer.
+with inner alternatives on the text itself, so that no text is too long for the lexer; in
+productions such loops are possessive, which java matches without recursion, so that no statement is too long.
 """
 
 from __future__ import annotations
@@ -100,8 +101,8 @@ PYTHON = Grammar(
     barred=("B EOL", "P EOL", "K EOL", ". EOL", "I {", "V {", "S {", ") {", "] {", "{ ;", "( ;", "[ ;"),
     lines=True,
     productions={
-        "import": r"import I(?: \. I)*(?: as I)?(?: , I(?: \. I)*(?: as I)?)*",
-        "from": r"from (?:\. |\.\.\. )*(?:I (?:\. I )*)?import (?:\*|\(\)|I(?: as I)?(?: , I(?: as I)?)*)",
+        "import": r"import I(?: \. I)*(?: as I)?(?: , I(?: \. I)*+(?: as I)?+)*+",
+        "from": r"from (?:\. |\.\.\. )*+(?:I (?:\. I )*)?import (?:\*|\(\)|I(?: as I)?(?: , I(?: as I)?+)*+)",
         "def": r"def I (?:\[\] )?\(\) (?:-> .+ )?:(?: .+)?",
         "class": r"class I (?:\[\] )?(?:\(\) )?:(?: .+)?",
         "async": r"async (?:def I (?:\[\] )?\(\) (?:-> .+ )?|for .+ in .+ |with .+ ):(?: .+)?",
@@ -178,7 +179,7 @@ RUST = Grammar(
         "trait": r".*trait I .*\{\}",
         "impl": r"(?:unsafe )?impl .+ \{\}",
         "mod": r"mod I (?:;|\{\})",
-        "const": r"const (?:I|_|mut I) : .+ = .+ ;|(?:async |unsafe |const |extern (?:S )?)*fn .+",
+        "const": r"const (?:I|_|mut I) : .+ = .+ ;|(?:async |unsafe |const |extern (?:S )?+)*+fn .+",
         "static": r"static (?:mut )?I : .+ = .+ ;",
         "type": r"type I .*= .+ ;",
         "extern": r"extern crate .+ ;|extern (?:S )?(?:fn .+|\{\})",
@@ -269,7 +270,7 @@ C = Grammar(
     block_goes_on="; ,",
 )
 
-_CS_MODS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|file|new|async|extern|virtual|override) )*"
+_CS_MODS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|file|new|async|extern|virtual|override) )*+"
 CSHARP = Grammar(
     name="csharp",
     comment=rf"{_LINE}|{_BLOCK}",
@@ -288,11 +289,11 @@ CSHARP = Grammar(
     allowed=("I I", ") I", ") V", ") N", ") S", "] I", "S S", "> I", ". .", "V I", "I V"),
     barred=(", )", ": :", "I N", "V N"),
     productions={
-        "using": r"using (?:static )?(?:I = )?I(?: (?:\. I|:: I|< .+ >))* ;|using (?:var |I )?.+ = .+ ;|using \(\) .*",
+        "using": r"using (?:static )?(?:I = )?I(?: (?:\. I|:: I))*+(?: < .+ >(?: (?:\. I|:: I))*+)? ;|using (?:var |I )?.+ = .+ ;|using \(\) .*",
         "namespace": r"namespace I(?: \. I)* (?:;|\{\})",
         "type": rf"(?:\[\] )*{_CS_MODS}(?:class|struct|interface|enum|record|record struct|record class) I .*?(?:\{{\}}|;)|(?:\[\] )*{_CS_MODS}delegate .+ \(\) .*;|(?:\[\] )*{_CS_MODS}(?:class|struct|interface|enum|record|record struct) I \{{\}}",
     },
-    default=r"extern I I ;|(?:\[\] )+|(?:var|await|const|return|throw) .+ ;|I (?:(?:\. I|\[\]|\(\)|\?|!) )+(?:(?:[-+*/%&|^]?=|\?\?=) .+ )?;|I [-+*/%&|^]?= .+ ;|I (?:< .+ > )?(?:\[\] |\? )?I (?:= .+ )?;|(?:if|for|foreach|while|switch|lock|fixed) \(\) .+|(?:try|else|do|finally|catch|unsafe) .+|(?:static |async )*I (?:< .+ > )?(?:\[\] |\? )?I \(\) .+|\{\}|;",
+    default=r"extern I I ;|(?:\[\] )+|(?:var|await|const|return|throw) .+ ;|I (?:(?:\. I|\[\]|\(\)|\?|!) )++(?:(?:[-+*/%&|^]?=|\?\?=) .+ )?;|I [-+*/%&|^]?= .+ ;|I (?:< .+ > )?(?:\[\] |\? )?I (?:= .+ )?;|(?:if|for|foreach|while|switch|lock|fixed) \(\) .+|(?:try|else|do|finally|catch|unsafe) .+|(?:static |async )*+I (?:< .+ > )?(?:\[\] |\? )?I \(\) .+|\{\}|;",
     block_goes_on="; . , ) =",
 )
 

@@ -14,9 +14,6 @@ from lodegraph.workspace import broadcast_if_small, materialize
 
 _END = "\u0002"
 _OPEN, _CLOSE = ("(", "[", "{"), (")", "]", "}")
-#: Productions with a loop over symbols are matched up to this many characters of a statement's
-#: symbols; longer ones are folded first, see _folded.
-LONG = 3000
 _BRACKETS = {"(": "()", "[": "[]", "{": "{}"}
 
 
@@ -153,22 +150,15 @@ def _statements(tokens: DataFrame) -> DataFrame:
     return out.select("key", "language", "n", F.array_join(F.col("s")["symbol"], " ").alias("symbols"), F.col("s")[0]["indent"].alias("indent"))
 
 
-def _folded(symbols: Column) -> Column:
-    """Symbols with runs of list elements in a long statement taken together."""
-    short = F.regexp_replace(symbols, r"(?:(?:I|N|S|\(\)|\[\]|\{\}) , ){8,64}+", "I , ")
-    return F.when(F.length(symbols) <= LONG, symbols).otherwise(F.concat(F.substring(short, 1, LONG // 2), F.lit(" "), F.regexp_extract(F.substring(short, -LONG // 2, LONG // 2), r"^\S*\s?([\s\S]*)$", 1)))
-
-
 def _ill_stated(statements: DataFrame) -> DataFrame:
-    """Keys of files with a statement that no production of the grammar gives."""
+    """Keys of files with a statement that no production of the grammar gives; long ones are matched whole."""
     symbols, language = F.col("core"), F.col("language")
-    rust = r"^(?:# (?:! )?\[\] ?)*(?:pub (?:\(\) )?)?"
-    script = r"^(?:(?:export|default|declare|abstract) )*(?:async (?=function))?"
-    rows = statements.withColumn("core", _folded(F.col("symbols")))
-    rows = rows.withColumn("core", F.when(language == "rust", F.regexp_replace("core", rust, "")).otherwise(F.col("core")))
+    rust = r"^(?:# (?:! )?\[\] ?)*+(?:pub (?:\(\) )?)?"
+    script = r"^(?:(?:export|default|declare|abstract) )*+(?:async (?=function))?"
+    rows = statements.withColumn("core", F.when(language == "rust", F.regexp_replace("symbols", rust, "")).otherwise(F.col("symbols")))
     bare = F.when(language.isin("js", "ts"), F.regexp_replace("core", script, "")).otherwise(F.col("core"))
     head = F.substring_index(bare, " ", 1)
-    typed = r"^(?:\[\] )*(?:[a-z]+ )*(?:class|struct|interface|enum|record|delegate) "
+    typed = r"^(?:\[\] )*+(?:[a-z]+ )*(?:class|struct|interface|enum|record|delegate) "
     head = F.when((language == "csharp") & symbols.rlike(typed), "type").otherwise(head)
     head = F.when(language.isin("js", "ts") & symbols.startswith("export") & ~head.isin(*GRAMMARS["ts"].productions), "export").otherwise(head)
     rows = rows.withColumn("head", head)
@@ -177,7 +167,7 @@ def _ill_stated(statements: DataFrame) -> DataFrame:
         chain = reduce(lambda c, k: c.when(F.col("head") == k, symbols.rlike(f"^(?:{g.productions[k]})$")), list(g.productions)[1:], F.when(F.col("head") == next(iter(g.productions)), symbols.rlike(f"^(?:{next(iter(g.productions.values()))})$")))
         whole = chain.otherwise(symbols.rlike(f"^(?:{g.default})$"))
         if g.name == "rust":  # attributes of the whole file may stand alone
-            whole = whole | ((symbols == "") & F.col("symbols").rlike(r"^(?:# ! \[\] ?)+$"))
+            whole = whole | ((symbols == "") & F.col("symbols").rlike(r"^(?:# ! \[\] ?)++$"))
         if g.first:
             whole = whole & ((F.col("n") == F.col("lead")) == (F.col("head") == g.first))
         return whole

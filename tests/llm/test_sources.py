@@ -185,3 +185,27 @@ def test_shared_trees_of_unrelated_repos(spark):
     # f1 and f2 are copies of each other; short texts count only inside a shared tree.
     assert got == {("a", "lib/z/u.c"), ("a", "lib/z/v.c"), ("b", "deep/copy/u.c"), ("b", "deep/copy/v.c"), ("", "u2.c")}
     assert shared_trees(df.limit(0)).count() == 0
+
+
+def test_long_statements_are_matched_whole(spark):
+    n, names = 40_000, ", ".join(f"n{i}" for i in range(900))
+    good = {
+        "a.c": f"int {names};\n",
+        "b.py": f"from x import {names}\n",
+        "c.py": "x = " + " + ".join(["a"] * n) + "\n",
+        "d.py": f"import {names.replace('n1', 'm.n as n1')}\n",
+        "e.js": "var " + ", ".join(f"n{i} = {i}" for i in range(n)) + ";\n",
+        "f.cs": "using System;\nx" + ".Add(1)" * n + ";\n",
+        "g.rs": "#[allow(a)]\n" * n + "fn f() {}\n",
+        "h.go": "package p\nvar x = " + " + ".join(["a"] * n) + "\n",
+        "i.c": "int x = " + " + ".join(["a"] * n) + ";\n",
+    }
+    bad = {
+        "j.c": f"int {names}, 5, {names};\n",
+        "k.py": f"from x import {names}, 5, {names}\n",
+        "l.py": "x = " + " + ".join(["a"] * n) + " + raise + " + " + ".join(["a"] * n) + "\n",
+        "m.cs": "using System;\nx" + ".Add(1)" * n + " + y" + ".Add(1)" * n + ";\n",
+        "n.c": "int x = " + " + ".join(["a"] * 900) + ", 5, y = " + " + ".join(["a"] * 900) + ";\n",
+    }
+    got = run(spark, [*good.items(), *bad.items()])
+    assert [name for i, name in enumerate([*good, *bad]) if got[i] != (name in good)] == []
