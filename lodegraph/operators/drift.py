@@ -15,10 +15,6 @@ from lodegraph.workspace import mark, materialize, release
 
 #: Smallest share of equal values that makes a field the renamed form of another.
 RENAME_SHARE = 2 / 3
-#: Buckets of a value sketch; a field keeps the least hash in each.
-SKETCH = 128
-#: Similarity of names from which a pair is examined whatever the sketches say.
-NAME_SIMILARITY = 0.5
 #: Types in the order that settles ties.
 TYPES = ("string", "number", "boolean", "array")
 
@@ -68,10 +64,9 @@ def read_drifting(df: DataFrame, *, feed: str = "feed_id", file: str = "file_no"
     ``values`` is (feed, file, entity, field, type, value, unified): each leaf of each record, with
     ``unified``, the first name of the field along the renames.
 
-    Fields are profiled per file: their majority type, and a sketch of their (entity, value) pairs that keeps
-    the least hash of each bucket. Fields that go and fields that come are the sides of a bipartite
-    graph whose edges are pairs with a common sketch entry or similar names; an edge stays if,
-    over the entities in both files that hold either field, the values are equal for
+    Fields are profiled per file by their majority type. Fields that go and fields that come are the
+    sides of a bipartite graph whose edges are the pairs with equal values in the entities of both
+    files, found by an exact join; an edge stays if, over the entities in both files that hold either field, the values are equal for
     RENAME_SHARE of them. Where fields have several edges, the heaviest matching decides. Of
     repeated records (feed, file, entity) the latest counts. Records with a null feed or file are
     left out; a null entity is an entity; other columns are ignored.
@@ -116,28 +111,27 @@ def _renames(rows: DataFrame, values: DataFrame, events: DataFrame) -> DataFrame
     """(feed, file, old, new) of the matched pairs of fields that go and come."""
     side = lambda change, name: events.filter(F.col("change") == change).select("feed", "file", "held", F.col("field").alias(name), F.col("type").alias(f"{name}_type"))
     gone, came = side("removed", "old"), side("added", "new")
-    held = events.filter("change <> 'type_changed'").select("feed", F.col("held").alias("file"), "field").distinct()
-    moved = materialize(values.join(held, ["feed", "file", "field"], "left_semi"))
-    code = F.xxhash64("entity", "type", "value")
-    sketch = moved.groupBy("feed", "file", "field", F.pmod(code, F.lit(SKETCH)).alias("bucket")).agg(F.min(code).alias("least"))
-    sketch = sketch.withColumnsRenamed({"file": "held"})
-    old = gone.join(sketch.withColumnRenamed("field", "old"), ["feed", "held", "old"]).select("feed", "file", "old", "bucket", "least")
-    new = came.join(sketch.withColumnRenamed("field", "new"), ["feed", "held", "new"]).select("feed", "file", "new", "bucket", "least")
-    alike = old.join(new, ["feed", "file", "bucket", "least"]).groupBy("feed", "file", "old", "new").agg(F.count(F.lit(1)).alias("shared"))
-    # Pairs of similar names: they share the last part of the path or its first three letters.
-    stem = lambda c: F.substring(F.lower(F.element_at(F.split(c, "\\."), -1)), 1, 3)
-    named = gone.select("feed", "file", "old", stem("old").alias("stem")).join(came.select("feed", "file", "new", stem("new").alias("stem")), ["feed", "file", "stem"])
+    # Values of the entities that both files of a step hold, for steps in which fields go and come.
+    steps = gone.select("feed", "file", F.col("held").alias("before")).join(came.select("feed", "file"), ["feed", "file"], "left_semi").distinct()
+    there = rows.select("feed", F.col("file").alias("held"), "entity")
+    common = steps.join(there.withColumnRenamed("held", "before"), ["feed", "before"]).join(there.withColumnRenamed("held", "file"), ["feed", "file", "entity"], "left_semi").select("feed", "file", "entity")
+    sides = gone.select("feed", "file", "held", F.col("old").alias("field"), F.lit(True).alias("goes")).unionByName(came.select("feed", "file", "held", F.col("new").alias("field"), F.lit(False).alias("goes")))
+    moved = values.withColumnRenamed("file", "held").join(sides.join(steps, ["feed", "file"], "left_semi"), ["feed", "held", "field"]).join(common, ["feed", "file", "entity"], "left_semi")
+    moved = materialize(moved.groupBy("feed", "file", "goes", "field", "entity").agg(F.max(F.struct("type", "value")).alias("v")))
+    olds = moved.filter("goes").select("feed", "file", F.col("field").alias("old"), "entity", F.col("v").alias("old_value"))
+    news = moved.filter("not goes").select("feed", "file", F.col("field").alias("new"), "entity", F.col("v").alias("new_value"))
+    # Equal values are counted exactly. A pair whose equal values are too few for its larger side is no rename.
+    equal = olds.join(news.withColumnRenamed("new_value", "old_value"), ["feed", "file", "entity", "old_value"]).groupBy("feed", "file", "old", "new").agg(F.count(F.lit(1)).alias("shared"))
+    held = lambda x, name: x.groupBy("feed", "file", name).agg(F.count(F.lit(1)).alias(f"{name}_held"))
+    pairs = equal.join(held(olds, "old"), ["feed", "file", "old"]).join(held(news, "new"), ["feed", "file", "new"])
+    pairs = pairs.filter(F.col("shared") >= F.greatest("old_held", "new_held") * (RENAME_SHARE - 1e-12)).select("feed", "file", "old", "new")
+    pairs = pairs.join(gone.select("feed", "file", "old", "old_type"), ["feed", "file", "old"]).join(came.select("feed", "file", "new", "new_type"), ["feed", "file", "new"])
     similar = 1 - F.levenshtein("old", "new") / F.greatest(F.length("old"), F.length("new"))
-    named = named.filter(similar >= NAME_SIMILARITY).select("feed", "file", "old", "new", F.lit(0).cast("bigint").alias("shared"))
-    pairs = alike.unionByName(named).groupBy("feed", "file", "old", "new").agg(F.max("shared").alias("shared"))
-    pairs = pairs.join(gone.select("feed", "file", "old", "old_type", F.col("held").alias("before")), ["feed", "file", "old"]).join(came.select("feed", "file", "new", "new_type"), ["feed", "file", "new"])
     pairs = materialize(pairs.withColumn("similar", similar))
 
-    # Exact share of equal values over the entities of both files that hold either field.
-    there = rows.select("feed", "file", "entity")
-    before = pairs.join(moved.select("feed", F.col("file").alias("before"), F.col("field").alias("old"), "entity", F.struct("type", "value").alias("old_value")), ["feed", "before", "old"]).join(there, ["feed", "file", "entity"], "left_semi")
-    after = pairs.join(moved.select("feed", "file", F.col("field").alias("new"), "entity", F.struct("type", "value").alias("new_value")), ["feed", "file", "new"]).join(there.withColumnRenamed("file", "before"), ["feed", "before", "entity"], "left_semi")
+    # Share of equal values over the entities of both files that hold either field.
     pair = ["feed", "file", "old", "new"]
+    before, after = pairs.select(*pair).join(olds, pair[:3]), pairs.select(*pair).join(news, ["feed", "file", "new"])
     each = before.select(*pair, "entity", "old_value").unionByName(after.select(*pair, "entity", "new_value"), allowMissingColumns=True)
     each = each.groupBy(*pair, "entity").agg(F.max("old_value").alias("a"), F.max("new_value").alias("b"))
     share = each.groupBy(*pair).agg((F.count(F.when(F.col("a") == F.col("b"), 1)) / F.count(F.lit(1))).alias("share"))

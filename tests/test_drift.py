@@ -60,3 +60,17 @@ def test_matching_is_the_heaviest():
     rows = [("x", "p", 1.0), ("x", "q", 0.9), ("y", "p", 0.95)]
     out = _matching(pd.DataFrame([(1, 2, o, n, w, 2) for o, n, w in rows], columns=["feed", "file", "old", "new", "weight", "crowd"]))
     assert set(zip(out["old"], out["new"], strict=True)) == {("x", "q"), ("y", "p")}
+
+
+def test_few_common_entities_in_large_files(spark):
+    for seed in range(3):
+        one = {f"e{i}": {"a": f"v{seed}{i}"} for i in range(20_000)}
+        got, _ = run(spark, {1: one, 2: {f"e{i}": {"zzz": f"v{seed}{i}"} for i in range(3)}})
+        assert got == {(2, "renamed", "zzz", "a")}
+
+
+def test_a_field_between_two_renames_counts_the_entities_of_each_step(spark):
+    one = {f"e{i}": {"a": f"v{i}"} for i in range(4)}
+    two = {f"e{i}": {"b": f"v{i}"} for i in range(8)}
+    got, _ = run(spark, {1: one, 2: two, 3: {f"e{i}": {"c": f"v{i}" if i > 5 else "q"} for i in range(4, 8)}})
+    assert got == {(2, "renamed", "b", "a"), (3, "added", "c", None), (3, "removed", None, "b")}
