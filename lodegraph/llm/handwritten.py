@@ -129,19 +129,31 @@ def _ignored(prefixes: Column, rules: Column) -> Column:
     return F.exists(prefixes, excluded)
 
 
+def _text_hash(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("other")
+
+
 def shared_trees(files: DataFrame) -> DataFrame:
-    """(repo, path) of the files of (repo, path, text) that stand in a tree, or are a file, that unrelated repositories share.
+    """(repo, path) of the files that have a version in ``shared_versions``."""
+    return shared_versions(files).select("repo", "path").distinct()
+
+
+def shared_versions(files: DataFrame) -> DataFrame:
+    """(repo, path, hash, other) of the files of (repo, path, text) that stand in a tree, or are a file, that unrelated repositories share.
 
     A Merkle hash is made bottom-up: of a file from its text, of a directory from the names and
     hashes of its children, combined in any order so that no directory is gathered. Repositories whose
     whole trees are equal are copies of each other, not unrelated. Trees with less than
-    SHARED_CHARS characters don't count. Of several files with one path the one with the least hash does.
+    SHARED_CHARS characters don't count. Each text of a path is a file of its own; in the hashes of
+    directories the one with the least hash stands for its path, and only that one stands in their trees.
     """
-    files = files.filter("path is not null and path <> ''").select(F.coalesce("repo", F.lit("")).alias("repo"), "path", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("other"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
-    files = files.groupBy("repo", "path").agg(F.min(F.struct("hash", "other", "size")).alias("h")).select("repo", "path", "h.*")
-    nodes = materialize(files.withColumn("depth", F.size(F.split("path", "/"))))
+    files = files.filter("path is not null and path <> ''").select(F.coalesce("repo", F.lit("")).alias("repo"), "path", *_text_hash(F.col("text")), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
+    versions = materialize(files.distinct().withColumn("depth", F.size(F.split("path", "/"))))
+    nodes = versions.groupBy("repo", "path", "depth").agg(F.min(F.struct("hash", "other", "size")).alias("h"))
+    nodes = materialize(nodes.select("repo", "path", "h.*", "depth"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    above, parts = None, [nodes]
+    leaf = F.lit(True).alias("leaf")
+    above, parts = None, [versions.select("*", leaf)]
     for depth in range(deepest, 0, -1):
         here = nodes.filter(F.col("depth") == depth)
         here = here if above is None else here.unionByName(above)
@@ -152,15 +164,16 @@ def shared_trees(files: DataFrame) -> DataFrame:
         above = above.select("repo", "path", F.xxhash64("a", "n").alias("hash"), F.xxhash64("b", "n").alias("other"), "size", F.lit(depth - 1).alias("depth"))
         if (deepest - depth) % LEVELS_PER_JOB == LEVELS_PER_JOB - 1:
             above = materialize(above)
-        parts.append(above)
+        parts.append(above.select("*", (~leaf).alias("leaf")))
     trees = materialize(reduce(DataFrame.unionByName, parts))
     roots = trees.filter("depth = 0").select("repo", F.col("hash").alias("root"))
     held = trees.filter((F.col("size") >= SHARED_CHARS) & (F.col("depth") > 0))
     known = held.join(roots, "repo").groupBy("hash", "other").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    shared = held.join(known.filter("least <> most").select("hash", "other"), ["hash", "other"], "left_semi").select("repo", F.col("path").alias("prefix"))
-    shared = materialize(shared)
-    inside = nodes.select("repo", "path", F.explode(_prefixes(F.col("path"))).alias("prefix"))
-    return inside.join(shared, ["repo", "prefix"], "left_semi").select("repo", "path").distinct()
+    shared = materialize(held.join(known.filter("least <> most").select("hash", "other"), ["hash", "other"], "left_semi"))
+    trees = shared.filter("not leaf").select("repo", F.col("path").alias("prefix"))
+    inside = nodes.select("repo", "path", "hash", "other", F.explode(_prefixes(F.col("path"))).alias("prefix")).join(trees, ["repo", "prefix"], "left_semi")
+    version = ["repo", "path", "hash", "other"]
+    return shared.filter("leaf").select(*version).unionByName(inside.select(*version)).distinct()
 
 
 def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id: str = "doc_id", path: str = "path", text: str = "text", repo: str = "repo") -> DataFrame:
@@ -184,7 +197,7 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
     numbers = F.regexp_count(body, F.lit(r"\b(?:0x[\da-fA-F]+|\d+(?:\.\d+)?)\b"))
     script = F.col("language").isin("js", "ts")
     judged = files.select(
-        "id", "repo", "path", "language",
+        "id", "repo", "path", "language", *_text_hash(F.col("text")),
         _begins(comments, _GENERATED).alias("told"),
         ((script & (size >= MINIFIED_CHARS) & (size - solid < size * MINIFIED_BLANKS)) | F.lower("path").rlike(_BUILT_NAMES)).alias("minified"),
         (_begins(comments, _UPSTREAM) | F.lower("path").rlike(_VENDOR_PATH)).alias("upstream"),
@@ -199,8 +212,8 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
     families = families.groupBy("id", "lines", shape.alias("shape")).agg(F.count_distinct(number).alias("n"))
     families = families.filter(F.col("n") >= NUMBERED_LINES).groupBy("id", "lines").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.col("lines") * NUMBERED_SHARE)
     judged = judged.drop("numbered", "lines").join(families.select("id", F.lit(True).alias("family")), "id", "left")
-    tree = shared_trees(docs.select(F.col(repo).alias("repo"), clean_path(F.col(path)).alias("path"), F.col(text).alias("text")))
-    judged = judged.join(tree.select(F.col("repo").alias("t_repo"), F.col("path").alias("t_path"), F.lit(True).alias("shared")), (F.coalesce("repo", F.lit("")) == F.col("t_repo")) & (F.col("path") == F.col("t_path")), "left")
+    tree = shared_versions(docs.select(F.col(repo).alias("repo"), clean_path(F.col(path)).alias("path"), F.col(text).alias("text")))
+    judged = judged.join(tree.select(F.col("repo").alias("t_repo"), F.col("path").alias("t_path"), F.col("hash").alias("t_hash"), F.col("other").alias("t_other"), F.lit(True).alias("shared")), (F.coalesce("repo", F.lit("")) == F.col("t_repo")) & (F.col("path") == F.col("t_path")) & (F.col("hash") == F.col("t_hash")) & (F.col("other") == F.col("t_other")), "left")
     skips = rules.select("language", "skip_dirs")
     judged = judged.join(broadcast_if_small(skips, 10_000), "language", "left")
     lists = ignores.filter("gitignore").select(F.col("repo").alias("i_repo"), _compiled(F.col("patterns")).alias("rules"))

@@ -209,3 +209,14 @@ def test_long_statements_are_matched_whole(spark):
     }
     got = run(spark, [*good.items(), *bad.items()])
     assert [name for i, name in enumerate([*good, *bad]) if got[i] != (name in good)] == []
+
+
+def test_every_version_of_a_path_is_compared(spark):
+    copy, own = "def f():\n    return 1\n" * 20, [f"def g{i}():\n    return {i}\n" * 20 for i in range(4)]
+    files = [(1, "b", "copy/lib.py", copy), (2, "b", "own.py", "x = 1\n")]
+    # With four handwritten versions of one path, and four paths, the copy isn't always the one with the least hash.
+    files += [(10 + 10 * i + j, "a", f"lib{i}.py", t) for i in range(4) for j, t in enumerate([copy, *(x + f"# {i}\n" for x in own)])]
+    docs = spark.createDataFrame([(i, r, p, t, "", "") for i, r, p, t in files], DOCS)
+    rules = spark.createDataFrame(RULES, "language string, extensions array<string>, skip_dirs array<string>")
+    ignores = spark.createDataFrame([], "repo string, gitignore boolean, patterns array<string>")
+    assert {r["id"] for r in foreign_files(docs, rules, ignores).collect() if r["vendored"]} == {1, 10, 20, 30, 40}
