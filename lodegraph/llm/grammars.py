@@ -21,10 +21,10 @@ _LINE = r"//[^\n]*+"
 _NEWLINE = r"\n[ \t]*+"
 
 # Token classes: I name, V value word, N number, S text, T template, L label or lifetime, Q word
-# that is a keyword in places, K other keyword, E keyword that may end a statement, D directive,
+# that is a keyword in places, H keyword that begins a statement, K other keyword, E keyword that may end a statement, D directive,
 # B operator with operands on both sides, P other operator, X what no valid file has, EOL, EOF;
 # brackets , ; : . stand for themselves.
-_CLASSES = ["I", "V", "N", "S", "T", "L", "Q", "K", "E", "D", "B", "P", "(", ")", "[", "]", "{", "}", ",", ";", ":", ".", "EOL", "EOF"]
+_CLASSES = ["I", "V", "N", "S", "T", "L", "Q", "K", "H", "E", "D", "B", "P", "(", ")", "[", "]", "{", "}", ",", ";", ":", ".", "EOL", "EOF"]
 _STARTS = ["I", "V", "N", "S", "T"]
 _ENDS = [*_STARTS, ")", "]"]
 
@@ -40,6 +40,9 @@ class Grammar:
     #: Keywords by class.
     values: str = ""
     words: str = ""
+    heads: str = ""
+    #: Classes after which, without a line end or terminator, no new statement begins.
+    unfinished: str = ""
     ending: str = ""
     soft: str = ""
     binary: str = ""
@@ -47,6 +50,8 @@ class Grammar:
     #: Pairs beyond the general rule that are allowed or not, as "class class".
     allowed: tuple[str, ...] = ()
     barred: tuple[str, ...] = ()
+    #: Runs of three classes that are not allowed, as "class class class".
+    triples: tuple[str, ...] = ()
     #: Pattern of a number token; of directives, with the form that a valid one has.
     number_token: str = _NUMBER
     directive: str = ""
@@ -76,7 +81,8 @@ class Grammar:
         closing = [")", "]", "}", ",", ";", "B", ".", "EOF"]
         out -= set(product(["B", "."], closing)) | set(product(["(", "[", "{", ","], ["B"]))
         out -= {(".", "N"), (".", "S"), (".", "T"), (".", ":"), (",", ","), (",", ";"), ("(", ","), ("[", ","), ("N", "("), ("N", "{") if self.name == "python" else ("N", "T")}
-        out -= {(x, "EOF") for x in ("B", "P", ".", ",", "K", "(", "[", "{", ":", "L")}
+        out -= {(x, "EOF") for x in ("B", "P", ".", ",", "K", "H", "(", "[", "{", ":", "L")}
+        out -= set(product(self.unfinished.split(), ["H", "E"]))
         split = lambda texts: {tuple(t.split(" ")) for t in texts}
         return (out | split(self.allowed)) - split(self.barred)
 
@@ -136,13 +142,17 @@ GO = Grammar(
     name_pattern=_IDENT,
     operators=rf":=|<-|&\^=|&\^|{_C_OPS}",
     number=r"(?i)0x[\da-f_]*(\.[\da-f_]*)?(p[+-]?\d+)?i?|0b[01_]+i?|0o?[0-7_]+i?|\d[\d_]*\.?[\d_]*(e[+-]?\d+)?i?|\.\d[\d_]*(e[+-]?\d+)?i?",
-    words="case chan const defer else for func go goto if import interface map package range select struct switch type var",
+    words="chan const else func import interface map package range struct type var",
+    heads="case defer for go goto if select switch",
+    unfinished="I N S ) ] }",
     ending="break continue default fallthrough return",
     binary=_ASSIGN + " := &^= / % || >> << &^",
     other="+ - * & | ^ ! < > <- ++ -- && ~ ...",
     allowed=("I I", ") I", "] I", "I S", "B EOL"),
+    barred=("K }", "H }", "H )", "H ]", "H ,", "B H", "P H", ". H", ", H", "( H", "[ H"),
+    triples=("I I I", "H EOL }", "K EOL }"),
     lines=True,
-    carries="B , . P K",
+    carries="B , . P K H",
     productions={
         "package": r"package I",
         "import": r"import (?:\(\)|(?:I |\. )?S)",
@@ -164,13 +174,15 @@ RUST = Grammar(
     number=r"0x[\da-fA-F_]+([iu](8|16|32|64|128|size))?|0b[01_]+([iu](8|16|32|64|128|size))?|0o[0-7_]+([iu](8|16|32|64|128|size))?|\d[\d_]*(\.[\d_]*)?([eE][+-]?[\d_]+)?_?([iuf](8|16|32|64|128|size))?",
     number_token=r"(?:\d\w*+\.\d\w*+|\d\w*+)(?:(?<=\d[eE])[+-]\w++)?",
     values="self Self super crate true false",
-    words="as async await const dyn else enum extern fn for if impl in let loop match mod move mut pub ref static struct trait type unsafe use where while",
+    words="as async await const dyn else enum extern fn for if impl in mod move mut pub ref static struct trait type unsafe use where",
+    heads="let loop match while",
+    unfinished="N S",
     ending="break continue return",
     soft="union macro_rules default auto",
     binary=_ASSIGN + " % <<",
     other="+ - * / & && | || ! ? < > >> -> => :: .. ..= ... ^ # @ $ ++ -- ~ _",
     allowed=("] I", ". N", "B ,", "B }"),
-    barred=("B ,", "B }"),
+    barred=("B ,", "B }", "H }"),
     productions={
         "use": r"use (?::: )?[^()\[\]]+ ;",
         "fn": r".*fn I (?:< .+ > )?\(\) (?:-> .+ )?(?:where .+ )?(?:\{\}|;)",
@@ -192,7 +204,7 @@ RUST = Grammar(
     block_goes_on="; . ? , = as :: )",
 )
 
-_JS_WORDS = "case catch class const delete do else export extends finally for function if import in instanceof let new switch throw try typeof var void while with"
+_JS_WORDS = "catch class const delete else export extends finally function import in instanceof let new typeof void with"
 _JS_HEADS = {
     "if": r"if \(\) .+",
     "for": r"for (?:await )?\(\) .+",
@@ -232,13 +244,15 @@ def _script(name: str, typed: bool) -> Grammar:
         number=r"(?i)0x[\da-f_]+n?|0b[01_]+n?|0o[0-7_]+n?|\d[\d_]*\.?[\d_]*(e[+-]?\d+)?n?|\.\d[\d_]*(e[+-]?\d+)?",
         values="this super true false null undefined",
         words=_JS_WORDS + (" enum" if typed else ""),
+        heads="case do for if switch throw try var while",
+        unfinished="I V N S T ]",
         ending="break continue return debugger default yield",
         soft="of from as get set static async await" + (" type interface declare namespace abstract readonly keyof infer is asserts public private protected override implements module unique satisfies" if typed else ""),
         binary=_ASSIGN + " === !== / % & | ^ && || ?? ??= ||= &&= >>>= **= ** << => ?." + ("" if typed else " >> >>>"),
         other="+ - * ! ~ ? < > ++ -- ... @" + (" ? | & >> >>>" if typed else ""),
         allowed=(") I", ") V", ") N", ") S", ") T", "I T", "] T", ", ,", "[ ,", "B EOL", "} B", *(("( B", "] I", "; B", "[ B") if typed else ())),
         lines=True,
-        carries="B , . P K :",
+        carries="B , . P K H :",
         productions=own,
         default=r"(?!(?:[,.)*/%=<>|^?:\]}]|&&|=>|\|\||extends|instanceof|in|case|typeof$|new$|delete$|void$) ?).+",
     )
@@ -256,12 +270,15 @@ C = Grammar(
     name_pattern=_IDENT,
     operators=_C_OPS,
     number=r"(?i)(0x[\da-f']*(\.[\da-f]*)?(p[+-]?\d+)?|0b[01']+|\d[\d']*\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)[ulfz]*",
-    words="case do else enum for goto if sizeof struct switch typedef union while",
+    words="enum sizeof struct typedef union",
+    heads="case do else for goto if switch while",
+    unfinished="N S",  # a name may be a macro
     ending="break continue default return",
     binary=_ASSIGN + " / % | ^ && || << >> -> ?",
     other="+ - * & ! ~ < > ++ -- ...",
     allowed=("I I", ") I", ") N", ") S", "S S", "S I", "I S", "I (", "] I"),
-    barred=(", )", ", ]", ": :", "? ;", "B :", "P :", "S ."),
+    barred=(", )", ", ]", ": :", "? ;", "B :", "P :", "S .", "K }", "H }", "H ]", "B H", "P H"),
+    triples=("I I H", "I I E"),
     productions={
         "typedef": r"typedef (?:(?:struct|union|enum) (?:I )?(?:\{\} )?|[I*,] |\(\) |\[\] |: N )++;",
     },
@@ -281,13 +298,15 @@ CSHARP = Grammar(
     operators=rf"=>|\?\?=|\?\?|\?\.|::|\.\.|{_C_OPS}",
     number=r"(?i)(0x[\da-f_]+|0b[01_]+|\d[\d_]*\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)[ulfdm]*",
     values="this base true false null",
-    words="as case catch class delegate do else enum event explicit finally fixed for foreach goto if implicit in interface is lock namespace new operator out params ref stackalloc struct switch throw try typeof using while public private protected internal static sealed abstract partial readonly unsafe const override virtual extern async",
+    words="as case catch class delegate do enum event explicit finally fixed implicit in interface is namespace new operator out params ref stackalloc struct switch throw try typeof using public private protected internal static sealed abstract partial readonly unsafe const override virtual extern async",
+    heads="else for foreach goto if lock while",
+    unfinished="N S",
     ending="break continue return default get set init yield",
     soft="record where when var await not and or file required add remove",
     binary=_ASSIGN + " / % | ^ && || << -> => ?? ??= :: ?.",
     other="+ - * & ! ~ ? < > >> ++ -- ..",
     allowed=("I I", ") I", ") V", ") N", ") S", "] I", "S S", "> I", ". .", "V I", "I V"),
-    barred=(", )", ": :", "I N", "V N"),
+    barred=(", )", ": :", "I N", "V N", "I H", "V H", "] H", "H }", "H )", "H ]", "B H", ", H", "( H", "[ H"),
     productions={
         "using": r"using (?:static )?(?:I = )?I(?: (?:\. I|:: I))*+(?: < .+ >(?: (?:\. I|:: I))*+)? ;|using (?:var |I )?.+ = .+ ;|using \(\) .*",
         "namespace": r"namespace I(?: \. I)* (?:;|\{\})",

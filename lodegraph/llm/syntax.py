@@ -37,7 +37,7 @@ def _vocabulary(spark: SparkSession) -> DataFrame:
     rows = []
     for g in GRAMMARS.values():
         known = {}
-        for cls, words in (("B", g.binary), ("P", g.other), ("V", g.values), ("K", g.words), ("E", g.ending), ("Q", g.soft)):
+        for cls, words in (("B", g.binary), ("P", g.other), ("V", g.values), ("K", g.words), ("H", g.heads), ("E", g.ending), ("Q", g.soft)):
             known |= {w: cls for w in words.split()}
         known |= {c: c for c in "()[]{},;:."} | {_END: "EOF"}
         rows += [(g.name, token, cls) for token, cls in known.items()]
@@ -85,15 +85,18 @@ def _tokens(files: DataFrame) -> DataFrame:
 
 
 def _ill_paired(tokens: DataFrame) -> DataFrame:
-    """Keys of files with an impossible token or a pair that the grammar doesn't permit.
+    """Keys of files with an impossible token, or a pair or run of three that the grammar doesn't permit.
 
     Adjacent tokens are anti-joined against the permissible pairs, a fixed table. Line ends inside brackets of
     Python pair with everything.
     """
     order = Window.partitionBy("key", "language").orderBy("pos")
-    rows = tokens.withColumns({"before": F.lag("class").over(order), "depth": F.sum("step").over(order)})
+    rows = tokens.withColumns({"before": F.lag("class").over(order), "second": F.lag("class", 2).over(order), "depth": F.sum("step").over(order)})
     inside = (F.col("language") == "python") & (F.col("depth") > 0) & ((F.col("class") == "EOL") | (F.col("before") == "EOL"))
-    pairs = rows.filter(~inside & (F.col("before").isNotNull() | (F.col("class") == "X"))).select("key", "language", F.coalesce("before", F.lit("")).alias("before"), "class")
+    # A run of three that the grammar rules out counts as an impossible token.
+    run = F.concat_ws(" ", "second", "before", "class")
+    three = reduce(lambda a, g: a | ((F.col("language") == g.name) & run.isin(*g.triples)), [g for g in GRAMMARS.values() if g.triples], F.lit(False))
+    pairs = rows.filter(~inside & (F.col("before").isNotNull() | (F.col("class") == "X"))).select("key", "language", F.coalesce("before", F.lit("")).alias("before"), F.when(three, "X").otherwise(F.col("class")).alias("class"))
     return pairs.join(F.broadcast(_pair_table(tokens.sparkSession)), ["language", "before", "class"], "left_anti").select("key", "language").distinct()
 
 

@@ -220,3 +220,21 @@ def test_every_version_of_a_path_is_compared(spark):
     rules = spark.createDataFrame(RULES, "language string, extensions array<string>, skip_dirs array<string>")
     ignores = spark.createDataFrame([], "repo string, gitignore boolean, patterns array<string>")
     assert {r["id"] for r in foreign_files(docs, rules, ignores).collect() if r["vendored"]} == {1, 10, 20, 30, 40}
+
+
+def test_faults_inside_blocks(spark):
+    go, js, cs = "package p\n\nfunc f() {{\n{}\n}}\n", "function f() {{\n{}\n}}\n", "class C {{ void F() {{\n{}\n}} }}\n"
+    bad = [
+        ("a.c", "int f(void) { int x = 5 return x; }\n"), ("b.c", "int f(void) { if }\n"), ("c.c", "int f(int a) {\n  please keep these words here\n  if (a) return 1;\n}\n"),
+        ("d.go", go.format("\tx := 5 return x")), ("e.go", go.format("\tif")), ("f.go", go.format("\tplease keep these words")), ("g.js", js.format("let x = 5 return x")), ("h.ts", js.format("let x = y if (x) z()")),
+        ("i.cs", cs.format("if")), ("j.cs", cs.format("int x = 5 return;")), ("k.cs", cs.format("int x = y while (x) F();")), ("l.rs", "fn f() { let x = 5 let y = 6; }\n"),
+    ]
+    good = [
+        ("a.c", "typedef unsigned long long int T;\nint f(int a) { LOCK if (a) return 1; else if (a > 2) goto e; do ; while (0);\ne: for (;;) { switch (a) { case 1: default: break; } } }\n"),
+        ("b.go", go.format("\tx := 5; if x > 3 { return }\n\tfor {\n\t\tselect {\n\t\tcase <-c: return\n\t\tdefault:\n\t\t}\n\t}\n\tif a { b() } else if c { d() }\n\tdefer func() { go f() }()")),
+        ("c.js", js.format("let x = 5; if (x) for (;;) break; else do { x.if = y?.for; } while (x)\nthrow { if: 1, do() {}, for: 2 }")),
+        ("d.cs", cs.format("int x = y switch { 1 => 2, _ => throw new E() }; if (x > 1) return; else while (x > 0) lock (y) foreach (var q in z) goto e; e: ;")),
+        ("e.rs", "fn f() { let x = match y { 1 if a => loop { break 5 }, \"s\" if b => return, _ => while let Some(z) = q {} }; }\n"),
+    ]
+    got = run(spark, [*bad, *good])
+    assert [f for i, f in enumerate([*bad, *good]) if got[i] != (i >= len(bad))] == []
