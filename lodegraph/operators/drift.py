@@ -33,8 +33,13 @@ def _kind(value: Column) -> Column:
 
 
 def _value(value: Column, kind: Column) -> Column:
-    """A form in which equal values are equal texts: numbers as doubles, arrays as JSON."""
-    return F.when(kind == "number", (value.try_cast("double") + F.lit(0.0)).cast("string")).otherwise(value.try_cast("string"))
+    """A form in which equal values are equal texts: numbers by value, arrays as JSON.
+
+    Numbers are doubles where those are exact to the unit, beyond that decimals as far as they go.
+    """
+    number = value.try_cast("double") + F.lit(0.0)
+    large = F.when(F.abs(number) >= float(1 << 53), value.try_cast("decimal(38,6)").cast("string"))
+    return F.when(kind == "number", F.coalesce(large, number.cast("string"))).otherwise(value.try_cast("string"))
 
 
 def leaves(records: DataFrame, keys: list[str], payload: str) -> DataFrame:
@@ -60,7 +65,8 @@ def read_drifting(df: DataFrame, *, feed: str = "feed_id", file: str = "file_no"
     """(changes, values) of all feeds.
 
     ``changes`` is (feed, file, change, field, old_field): a change of a field from one file of a
-    feed to its next one (by number, whatever the arrival): added, removed, type_changed or renamed.
+    feed to its next one (by number, whatever the arrival): added, removed, type_changed (field and
+    old_field both its name) or renamed (field the new, old_field the old name).
     ``values`` is (feed, file, entity, field, type, value, unified): each leaf of each record, with
     ``unified``, the first name of the field along the renames.
 
@@ -95,10 +101,8 @@ def read_drifting(df: DataFrame, *, feed: str = "feed_id", file: str = "file_no"
     both = events.filter("change = 'type_changed'").select("feed", "file", "change", "field", F.col("field").alias("old_field"))
     new = events.filter("change = 'added'").join(renames.select("feed", "file", F.col("new").alias("field")), ["feed", "file", "field"], "left_anti")
     gone = events.filter("change = 'removed'").join(renames.select("feed", "file", F.col("old").alias("field")), ["feed", "file", "field"], "left_anti")
-    plain = lambda x, field, old: x.select("feed", "file", "change", field.alias("field"), old.alias("old_field"))
-    none = F.lit(None).cast("string")
-    changes = both.unionByName(plain(new, F.col("field"), none)).unionByName(plain(gone, none, F.col("field")))
-    changes = changes.unionByName(plain(renames.withColumn("change", F.lit("renamed")), F.col("new"), F.col("old")))
+    changes = both.unionByName(new.unionByName(gone).select("feed", "file", "change", "field", F.col("field").alias("old_field")))
+    changes = changes.unionByName(renames.select("feed", "file", F.lit("renamed").alias("change"), F.col("new").alias("field"), F.col("old").alias("old_field")))
     values = _unify(values, events, renames)
     names = {"feed": feed, "file": file}
     changes, values = changes.withColumnsRenamed(names), values.withColumnsRenamed(names | {"entity": entity})

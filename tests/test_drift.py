@@ -16,7 +16,7 @@ def test_all_kinds_of_change(spark):
     one = {f"e{i}": {"ms": i, "deep": {"x": f"v{i}"}, "gone": True, "kind": i} for i in range(6)}
     two = {f"e{i}": {"millis": float(i), "deep": {"x": f"v{i}"}, "new": [1], "kind": f"{i}"} for i in range(6)}
     got, values = run(spark, {1: one, 3: two})
-    assert got == {(3, "renamed", "millis", "ms"), (3, "added", "new", None), (3, "removed", None, "gone"), (3, "type_changed", "kind", "kind")}
+    assert got == {(3, "renamed", "millis", "ms"), (3, "added", "new", "new"), (3, "removed", "gone", "gone"), (3, "type_changed", "kind", "kind")}
     unified = {(r["file_no"], r["field"], r["unified"]) for r in values.collect()}
     assert (3, "millis", "ms") in unified and (1, "ms", "ms") in unified and (3, "deep.x", "deep.x") in unified
 
@@ -26,7 +26,7 @@ def test_renames_need_two_thirds_of_common_entities(spark):
     got, _ = run(spark, {1: one, 2: {f"e{i}": {"b": f"v{i}" if i < 4 else "other"} for i in range(6)}})
     assert got == {(2, "renamed", "b", "a")}
     got, _ = run(spark, {1: one, 2: {f"e{i}": {"b": f"v{i}" if i < 3 else "other"} for i in range(6)}})
-    assert got == {(2, "added", "b", None), (2, "removed", None, "a")}
+    assert got == {(2, "added", "b", "b"), (2, "removed", "a", "a")}
 
 
 def test_chain_of_renames_keeps_the_first_name(spark):
@@ -45,7 +45,7 @@ def test_matching_takes_each_field_once(spark):
 def test_dirty_rows(spark):
     noise = [(None, 1, "e", "{}", 1, "", ""), (2, None, "e", "{}", 1, "", ""), (2, 1, None, '{"a": 1}', 1, "", ""), (2, 2, None, "no json", 1, "", ""), (2, 2, "x", None, None, "", ""), (2, 2, "x", "[1]", None, "", "")]
     got, _ = run(spark, {1: {"e": {"a": 1, "b": None, "c": {}}}, 2: {"e": '{"a": 2}'}}, noise=noise)
-    assert got == {(2, "removed", None, "a")}  # of feed 2
+    assert got == {(2, "removed", "a", "a")}  # of feed 2
     assert run(spark, {})[0] == set()
 
 
@@ -73,4 +73,12 @@ def test_a_field_between_two_renames_counts_the_entities_of_each_step(spark):
     one = {f"e{i}": {"a": f"v{i}"} for i in range(4)}
     two = {f"e{i}": {"b": f"v{i}"} for i in range(8)}
     got, _ = run(spark, {1: one, 2: two, 3: {f"e{i}": {"c": f"v{i}" if i > 5 else "q"} for i in range(4, 8)}})
-    assert got == {(2, "renamed", "b", "a"), (3, "added", "c", None), (3, "removed", None, "b")}
+    assert got == {(2, "renamed", "b", "a"), (3, "added", "c", "c"), (3, "removed", "b", "b")}
+
+
+def test_large_whole_numbers_are_told_apart(spark):
+    one = {f"e{i}": {"a": 2**53 + 2 * i} for i in range(4)}
+    got, _ = run(spark, {1: one, 2: {f"e{i}": {"b": 2**53 + 2 * i + 1} for i in range(4)}})
+    assert got == {(2, "added", "b", "b"), (2, "removed", "a", "a")}
+    got, _ = run(spark, {1: one, 2: {f"e{i}": {"b": 2**53 + 2 * i} for i in range(4)}})
+    assert got == {(2, "renamed", "b", "a")}
