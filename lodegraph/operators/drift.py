@@ -68,7 +68,8 @@ def read_drifting(df: DataFrame, *, feed: str = "feed_id", file: str = "file_no"
     feed to its next one (by number, whatever the arrival): added, removed, type_changed (field and
     old_field both its name) or renamed (field the new, old_field the old name).
     ``values`` is (feed, file, entity, field, type, value, unified): each leaf of each record, with
-    ``unified``, the first name of the field along the renames.
+    ``unified``, the first name of the field along the renames; a name that is given to another
+    field after it was renamed away is told apart as name@file.
 
     Fields are profiled per file by their majority type. Fields that go and fields that come are the
     sides of a bipartite graph whose edges are the pairs with equal values in the entities of both
@@ -210,5 +211,34 @@ def _unify(values: DataFrame, events: DataFrame, renames: DataFrame) -> DataFram
     # A life that began anew without a rename after that isn't the renamed one.
     anew = used.join(born.withColumnRenamed("name", "field"), ["feed", "field"]).filter("since <= file").groupBy("feed", "file", "field").agg(F.max("since").alias("anew"))
     last = last.join(anew, ["feed", "file", "field"], "left").withColumn("first", F.when(F.col("anew").isNull() | (F.col("anew") == F.col("since")), F.col("first")))
+    # A name that begins anew after its field lives on under another one is a field of its own.
+    left = renames.groupBy("feed", F.col("old").alias("field")).agg(F.min("file").alias("left"))
+    again = F.when(F.col("first").isNull() & (F.col("anew") >= F.col("left")), F.concat("field", F.lit("@"), F.col("anew").cast("string")))
+    last = last.join(left, ["feed", "field"], "left").withColumn("first", F.coalesce("first", again))
     out = values.join(last.select("feed", "file", "field", "first"), ["feed", "file", "field"], "left")
     return materialize(out.select("feed", "file", "entity", "field", "type", "value", F.coalesce("first", "field").alias("unified")))
+
+
+def unified_records(values: DataFrame, kinds: DataFrame, *, feed: str = "feed_id", file: str = "file_no", entity: str = "entity", kind: str = "record_kind") -> tuple[DataFrame, DataFrame]:
+    """(records, fields) of the values of ``read_drifting`` and the (feed, kind) of each feed.
+
+    ``fields`` is (kind, field, type, types, feeds, values): the one type of each unified field of a
+    kind, its own if all values share it, otherwise string. ``records`` is (kind, feed, file, entity, record,
+    clashes): the record as JSON text whose values have those types; where two fields of a record have one
+    unified name the greater value stands, and ``clashes`` counts the others. A feed without a kind is
+    left out, one with several counts for each of them.
+    """
+    start = mark()
+    rows = values.join(kinds.select(feed, kind).distinct(), feed)
+    fields = rows.groupBy(kind, F.col("unified").alias("field")).agg(F.collect_set("type").alias("t"), F.count_distinct(feed).alias("feeds"), F.count(F.lit(1)).alias("values"))
+    fields = fields.select(kind, "field", F.when(F.size("t") == 1, F.col("t")[0]).otherwise("string").alias("type"), F.array_join(F.array_sort("t"), ",").alias("types"), "feeds", "values")
+    fields = materialize(fields)
+    # The types of fields are few beside the values; AQE broadcasts them if their bytes are.
+    typed = rows.join(fields.select(kind, F.col("field").alias("unified"), F.col("type").alias("wide")), [kind, "unified"])
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    plain = (F.col("wide") != "string") & ~((F.col("wide") == "number") & F.col("value").isin("NaN", "Infinity", "-Infinity"))
+    one = typed.groupBy(kind, feed, file, entity, "unified").agg(F.max(F.when(plain, F.col("value")).otherwise(quoted(F.col("value")))).alias("literal"), (F.count(F.lit(1)) - 1).alias("more"))
+    member = F.concat(quoted(F.col("unified")), F.lit(":"), "literal")
+    records = one.groupBy(kind, feed, file, entity).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(member)), ","), F.lit("}")).alias("record"), F.sum("more").alias("clashes"))
+    release(start, keep=fields)
+    return records, fields

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators.drift import read_drifting
+from lodegraph.operators.drift import read_drifting, unified_records
 from lodegraph.operators.hierarchy import descendants, resolve_hierarchy
 from lodegraph.operators.latest import latest, trimmed
 from lodegraph.operators.nested import flat_tables
@@ -61,14 +61,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_drifting(table(spark, sf_dir, "drift_records"))[0]
 
 
+def _unified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf_dir, "drift_records")
+    return unified_records(read_drifting(records)[1], records.select("feed_id", "record_kind").filter("record_kind is not null").distinct())
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all files by kind, with one name and one type for each field."""
-    records = table(spark, sf_dir, "drift_records")
-    kinds = records.groupBy("feed_id").agg(F.min("record_kind").alias("record_kind"))
-    values = read_drifting(records)[1].join(kinds, "feed_id")
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("unified", "value"))))
-    one = values.groupBy("record_kind", "feed_id", "file_no", "entity", "unified").agg(F.max("value").alias("value"))
-    return one.groupBy("record_kind", "feed_id", "file_no", "entity").agg(F.to_json(entries).alias("record"))
+    return _unified(spark, sf_dir)[0]
+
+
+def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified fields of each kind of record with their types."""
+    return _unified(spark, sf_dir)[1]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +105,7 @@ def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tables(table(spark, sf_dir, "snapshot_docs"))["node"].drop("attributes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_unified": p3_unified, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_unified": p3_unified, "p3_fields": p3_fields, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
 
 _P1 = r"""
 WITH d AS (
@@ -130,6 +135,56 @@ WITH RECURSIVE n AS (
 )
 """
 
+_P3 = r"""
+WITH RECURSIVE r AS (
+  SELECT feed_id, file_no, coalesce(entity, '') AS entity, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j
+  FROM drift_records WHERE feed_id IS NOT NULL AND file_no IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY feed_id, file_no, entity ORDER BY ingested_at DESC) = 1
+), o AS (
+  SELECT feed_id, file_no, entity, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) ELSE j END AS j FROM r
+), t AS (
+  SELECT feed_id, file_no, entity, '' AS prefix, j FROM o WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT feed_id, file_no, entity, prefix || k || '.', v FROM (
+    SELECT feed_id, file_no, entity, prefix, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM t)
+  ) WHERE json_type(v) = 'OBJECT'
+), l AS (
+  SELECT feed_id, file_no, entity, field, CASE y WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+    CASE WHEN y IN ('VARCHAR', 'ARRAY', 'BOOLEAN') THEN v ->> '$' ELSE CAST(CAST(v AS DOUBLE) AS VARCHAR) END AS value
+  FROM (SELECT *, json_type(v) AS y FROM (
+    SELECT feed_id, file_no, entity, prefix || k AS field, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM t)
+  )) WHERE y NOT IN ('NULL', 'OBJECT')
+), f AS (
+  SELECT feed_id, file_no, lag(file_no) OVER (PARTITION BY feed_id ORDER BY file_no) AS before FROM (SELECT DISTINCT feed_id, file_no FROM r)
+), s AS (SELECT * FROM f WHERE before IS NOT NULL),
+p AS (
+  SELECT feed_id, file_no, field, kind FROM (SELECT feed_id, file_no, field, kind, count(*) AS n FROM l GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY feed_id, file_no, field ORDER BY n DESC, CASE kind WHEN 'string' THEN 0 WHEN 'number' THEN 1 WHEN 'boolean' THEN 2 ELSE 3 END) = 1
+), a AS (SELECT s.*, p.field, p.kind FROM s JOIN p USING (feed_id, file_no)),
+b AS (SELECT s.*, p.field, p.kind FROM s JOIN p ON p.feed_id = s.feed_id AND p.file_no = s.before),
+came AS (SELECT a.* FROM a ANTI JOIN b USING (feed_id, file_no, field)),
+went AS (SELECT b.* FROM b ANTI JOIN a USING (feed_id, file_no, field)),
+e AS (SELECT s.feed_id, s.file_no, s.before, x.entity FROM s JOIN r x USING (feed_id, file_no) SEMI JOIN r y ON y.feed_id = s.feed_id AND y.file_no = s.before AND y.entity IS NOT DISTINCT FROM x.entity),
+e2 AS (SELECT feed_id, file_no, before, coalesce(entity, '') AS entity FROM e),
+u AS (SELECT w.feed_id, w.file_no, w.field AS name, l.entity, l.kind, l.value FROM went w JOIN l ON l.feed_id = w.feed_id AND l.file_no = w.before AND l.field = w.field SEMI JOIN e2 ON e2.feed_id = w.feed_id AND e2.file_no = w.file_no AND e2.entity = l.entity),
+v AS (SELECT w.feed_id, w.file_no, w.field AS name, l.entity, l.kind, l.value FROM came w JOIN l USING (feed_id, file_no, field) SEMI JOIN e2 ON e2.feed_id = w.feed_id AND e2.file_no = w.file_no AND e2.entity = l.entity),
+un AS (SELECT feed_id, file_no, name, count(*) AS n FROM u GROUP BY ALL), vn AS (SELECT feed_id, file_no, name, count(*) AS n FROM v GROUP BY ALL),
+c AS (
+  SELECT u.feed_id, u.file_no, u.name AS old, v.name AS new, count(*) AS in_both, count(*) FILTER (u.kind = v.kind AND u.value = v.value) AS same
+  FROM u JOIN v USING (feed_id, file_no, entity) GROUP BY ALL
+), m AS (
+  SELECT c.feed_id, c.file_no, old, new, same / (un.n + vn.n - in_both) AS share FROM c
+  JOIN un ON un.feed_id = c.feed_id AND un.file_no = c.file_no AND un.name = old JOIN vn ON vn.feed_id = c.feed_id AND vn.file_no = c.file_no AND vn.name = new
+), q AS (
+  SELECT feed_id, file_no, old, new FROM m WHERE share >= 2 / 3 - 1e-12
+  QUALIFY row_number() OVER (PARTITION BY feed_id, file_no, old ORDER BY share DESC, new) = 1 AND row_number() OVER (PARTITION BY feed_id, file_no, new ORDER BY share DESC, old) = 1
+)
+SELECT feed_id, file_no, 'renamed' AS change, new AS field, old AS old_field FROM q
+UNION ALL SELECT feed_id, file_no, 'added', field, field FROM came ANTI JOIN q ON q.feed_id = came.feed_id AND q.file_no = came.file_no AND q.new = came.field
+UNION ALL SELECT feed_id, file_no, 'removed', field, field FROM went ANTI JOIN q ON q.feed_id = went.feed_id AND q.file_no = went.file_no AND q.old = went.field
+UNION ALL SELECT a.feed_id, a.file_no, 'type_changed', a.field, a.field FROM a JOIN b USING (feed_id, file_no, field) WHERE a.kind <> b.kind
+"""
+
 _P5 = r"""
 WITH r AS (
   SELECT *, list_sort(map_entries(coalesce(CAST(CAST(attrs AS JSON) AS MAP(VARCHAR, DOUBLE)), MAP {}))) AS entries
@@ -180,6 +235,7 @@ SELECT DISTINCT * FROM (
 """
 
 ORACLE = {
+    "p3_found": _P3,
     "p7_found": _P7,
     "p2_found": _P2 + "SELECT node_key FROM e WHERE node_key NOT IN (SELECT node_key FROM t)",
     "p2_paths": _P2 + "SELECT e.node_key, root_key, depth, path, n AS n_descendants FROM e LEFT JOIN t USING (node_key) LEFT JOIN below ON e.node_key = ancestor_key",

@@ -1,6 +1,6 @@
 import json
 
-from lodegraph.operators.drift import _matching, read_drifting
+from lodegraph.operators.drift import _matching, read_drifting, unified_records
 
 SCHEMA = "feed_id bigint, file_no int, entity string, payload string, ingested_at int, field string, change string"
 
@@ -82,3 +82,21 @@ def test_large_whole_numbers_are_told_apart(spark):
     assert got == {(2, "added", "b", "b"), (2, "removed", "a", "a")}
     got, _ = run(spark, {1: one, 2: {f"e{i}": {"b": 2**53 + 2 * i} for i in range(4)}})
     assert got == {(2, "renamed", "b", "a")}
+
+
+def test_a_name_given_to_another_field_is_told_apart(spark):
+    one = {f"e{i}": {"a": f"v{i}"} for i in range(4)}
+    two = {f"e{i}": {"b": f"v{i}"} for i in range(4)}
+    three = {f"e{i}": {"b": f"v{i}", "a": i} for i in range(4)}
+    _, values = run(spark, {1: one, 2: two, 3: three})
+    assert {(r["file_no"], r["field"], r["unified"]) for r in values.collect()} == {(1, "a", "a"), (2, "b", "a"), (3, "b", "a"), (3, "a", "a@3")}
+
+
+def test_unified_records_have_one_type_per_field(spark):
+    files = {1: {"e": {"a": 1, "t": "x\"y", "l": [1], "ok": True}}, 2: {"e": {"a": "1", "t": "z", "l": [2], "ok": False, "d": {"n": 2}}}}
+    _, values = run(spark, files)
+    records, fields = unified_records(values, spark.createDataFrame([(1, "k"), (2, "other")], "feed_id bigint, record_kind string"))
+    got = {r["file_no"]: json.loads(r["record"]) for r in records.collect()}
+    assert got == {1: {"a": "1.0", "t": 'x"y', "l": [1], "ok": True}, 2: {"a": "1", "t": "z", "l": [2], "ok": False, "d.n": 2}}
+    assert {(r["field"], r["type"]) for r in fields.collect()} == {("a", "string"), ("t", "string"), ("l", "array"), ("ok", "boolean"), ("d.n", "number")}
+    assert {r["clashes"] for r in records.collect()} == {0}
