@@ -1,4 +1,4 @@
-"""The pN_ queries on texts, over whole tables."""
+"""The pN_ queries of this subpackage, over whole tables."""
 
 from __future__ import annotations
 
@@ -10,9 +10,27 @@ from lodegraph.llm.leakage import leaked_items
 from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs, sql_form
 from lodegraph.llm.mixing import mix_sources
 from lodegraph.llm.syntax import invalid_files, invalid_rates
+from lodegraph.llm.topn import top_n_per_group
+from lodegraph.operators.latest import latest, trimmed
 from lodegraph.workspace import table
 
 
+def _heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "violations").select("violation_id", "ingested_at", "repo", "language", F.lower(trimmed(F.col("rule_group"))).alias("rule_group"), "weight", "location")
+    rows = latest(rows, ["violation_id"], "ingested_at").filter("rule_group is not null")
+    return top_n_per_group(rows.drop("ingested_at"), ["repo", "language", "rule_group"], "weight", ["location", "violation_id"], 3)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three heaviest violations of every repo, language and rule group."""
+    return _heaviest(spark, sf_dir).select("violation_id")
+
+
+def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with group, weight and rank."""
+    return _heaviest(spark, sf_dir).select("repo", "language", "rule_group", "violation_id", "weight", "rank")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_files(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_rules"), table(spark, sf_dir, "ignore_rules"))
 
@@ -66,9 +84,22 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+
+_P1 = r"""
+WITH d AS (
+  SELECT *, row_number() OVER (PARTITION BY violation_id ORDER BY ingested_at DESC, repo DESC) AS rn FROM violations
+), k AS (
+  SELECT repo, language, lower(regexp_replace(rule_group, '^\s+|\s+$', '', 'g')) AS rule_group, violation_id, weight, location
+  FROM d WHERE rn = 1 AND rule_group IS NOT NULL AND weight IS NOT NULL AND NOT isnan(weight)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, language, rule_group ORDER BY weight DESC, location, violation_id) AS rank FROM k
+)
+"""
 
 ORACLE = {
+    "p1_found": _P1 + "SELECT violation_id FROM r WHERE rank <= 3",
+    "p1_ranked": _P1 + "SELECT repo, language, rule_group, violation_id, weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
     "p10_found": f"""
 WITH k AS (SELECT doc_id, text, {sql_form("text")} AS form FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
