@@ -12,26 +12,9 @@ from lodegraph.operators.hierarchy import descendants, resolve_hierarchy
 from lodegraph.operators.latest import latest, trimmed
 from lodegraph.operators.nested import flat_tables
 from lodegraph.operators.snapshots import content_hash, numeric_entries, snapshot_changes
-from lodegraph.operators.topn import top_n_per_group
 from lodegraph.workspace import table
 
 
-def _heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "violations").select("violation_id", "ingested_at", "repo", "language", F.lower(trimmed(F.col("rule_group"))).alias("rule_group"), "weight", "location")
-    rows = latest(rows, ["violation_id"], "ingested_at").filter("rule_group is not null")
-    return top_n_per_group(rows.drop("ingested_at"), ["repo", "language", "rule_group"], "weight", ["location", "violation_id"], 3)
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three heaviest violations of every repo, language and rule group."""
-    return _heaviest(spark, sf_dir).select("violation_id")
-
-
-def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with group, weight and rank."""
-    return _heaviest(spark, sf_dir).select("repo", "language", "rule_group", "violation_id", "weight", "rank")
-
-
 def _hierarchy(spark: SparkSession, sf_dir: str, **more: object) -> DataFrame:
     rows = latest(table(spark, sf_dir, "nodes").select("repo", "id", "seen_at", "node_key", "parent", "name"), ["repo", "id"], "seen_at")
     rows = rows.withColumn("parent", F.regexp_replace(trimmed(F.col("parent")), "/+$", ""))
@@ -105,18 +88,7 @@ def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tables(table(spark, sf_dir, "snapshot_docs"))["node"].drop("attributes")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_unified": p3_unified, "p3_fields": p3_fields, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
-
-_P1 = r"""
-WITH d AS (
-  SELECT *, row_number() OVER (PARTITION BY violation_id ORDER BY ingested_at DESC, repo DESC) AS rn FROM violations
-), k AS (
-  SELECT repo, language, lower(regexp_replace(rule_group, '^\s+|\s+$', '', 'g')) AS rule_group, violation_id, weight, location
-  FROM d WHERE rn = 1 AND rule_group IS NOT NULL AND weight IS NOT NULL AND NOT isnan(weight)
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY repo, language, rule_group ORDER BY weight DESC, location, violation_id) AS rank FROM k
-)
-"""
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_unified": p3_unified, "p3_fields": p3_fields, "p5_found": p5_found, "p7_found": p7_found, "p7_nodes": p7_nodes}
 
 _P2 = r"""
 WITH RECURSIVE n AS (
@@ -241,6 +213,4 @@ ORACLE = {
     "p2_paths": _P2 + "SELECT e.node_key, root_key, depth, path, n AS n_descendants FROM e LEFT JOIN t USING (node_key) LEFT JOIN below ON e.node_key = ancestor_key",
     "p2_descendants": _P2 + "SELECT ancestor_key, descendant_key, CAST(depth - place + 1 AS INTEGER) AS distance FROM pairs WHERE ancestor_key <> descendant_key",
     "p5_found": _P5,
-    "p1_found": _P1 + "SELECT violation_id FROM r WHERE rank <= 3",
-    "p1_ranked": _P1 + "SELECT repo, language, rule_group, violation_id, weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
 }
