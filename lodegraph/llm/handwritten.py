@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,33 +13,39 @@ from lodegraph.llm.paths import clean_path
 from lodegraph.llm.syntax import source_files
 from lodegraph.workspace import broadcast_if_small, materialize
 
-#: Text that a file or tree must hold at least to count as shared between repositories.
+#: Characters of code that a file or tree shared by two repositories must hold to count; by more repositories, fewer.
 SHARED_CHARS = 200
+#: Share of a directory's code that stands elsewhere, in at least so many files, from which the directory is an edited copy.
+PARTIAL_SHARE, PARTIAL_FILES = 0.8, 2
+#: Files from which a repository of which PARTIAL_SHARE stands elsewhere is a fork, or the origin, and not called vendored.
+FORK_FILES = 10
 #: Directory levels for which the hash tree is one job.
 LEVELS_PER_JOB = 8
 #: Share of white space below which a script is minified, and the length from which that is judged.
 MINIFIED_BLANKS, MINIFIED_CHARS = 0.1, 200
 #: Numbered lines of one shape that make a file a tool's output: at least so many, and of all lines.
 NUMBERED_LINES, NUMBERED_SHARE = 8, 0.3
-#: Share of an encoded literal, or of numbers among all words, that makes a file data.
-ENCODED_SHARE, NUMBER_SHARE, NUMBERS = 0.4, 0.4, 60
-
-# What a comment of a tool's output begins with, and one of a third party's copy.
-_GENERATED = [
-    r"code generated by .*do not edit",
-    r"@generated\b",
-    r"<auto-?generated",
-    r"(?:this file (?:is|was) )?auto(?:matically |-)?generated\b",
-    r"generated (?:by|from|with)\b",
-    r"autogenerated file",
-    r"machine[ -](?:written|generated) by",
-    r"do not edit(?: this file| by hand| manually)?\W*$",
-    r"[#@] sourceMappingURL=",
-]
-_UPSTREAM = [r"upstream: *\S+@\d", r"\S+ v?\d[\w.]* - upstream release", r"copyright \(c\) [\d, -]+ the \S+ authors and contributors", r"vendored from\b"]
+#: Characters and share of encoded literals, or number and share of numbers among all words, that make a file data.
+ENCODED_CHARS, ENCODED_SHARE, NUMBER_SHARE, NUMBERS = 200, 0.4, 0.4, 60
+
+# Header rules are made of kinds of evidence, not of sentences. A file tells that a tool made it, if a comment
+# begins with the making of the file itself ("this file was generated", "emitted") and names the tool, the source,
+# or forbids editing; or by a bare marker. It tells of its origin, if a comment names a package with its version beside a
+# word of origin or a licence. A comment that says what the code itself does begins with neither.
+_SELF = r"(?:this|the|these|file|files|code|source|module|contents?|document|all|was|were|is|are|has|have|been|be|automatically|auto|fully|entirely|machine|note|warning|important|attention)"
+_MADE = r"(?:auto-?|machine[- ]|re-?)?(?:generated|produced|emitted|created|built|compiled|transpiled|rendered|synthesi[sz]ed|derived|exported|output|written)"
+_MAKING = rf"^\W*(?:{_SELF}\W+){{0,7}}{_MADE}\b"
+_TOOL = r"\b(?:by|with|using|via)\W+(?!(?:hand|hands|humans?|people|us|me|the|a|an|our|its|their|every|all|each)\b)[\w.@/-]+|`[^`]+`|\([\w.-]+(?: [\w.-]+)?\)|(?:^|\s)--?[a-z][\w-]+|\b\w+(?:gen|codegen|compiler|generator)\b"
+_SOURCE = r"\b(?:from|of|for|edit|see|input|source|schema|template)\W+(?:\w+\W+){0,2}?[\w.-]+/[\w./-]*\w|\b(?:from|of|for|edit|see|input|source|schema|template)\W+[\w-]+\.[a-z]\w{0,9}\b"
+_FORBID = r"\b(?:do not|don't|never|not for|not to be|must not|no)\b[^.]{0,20}\b(?:edit|edits|edited|editing|modify|modified|change|changed|changes|touch)\b|\b(?:changes?|edits?|modifications?)\b.{0,40}\b(?:lost|overwritten|discarded|vanish|undone|clobbered|reverted)\b|\b(?:regenerate|rebuild)\b.{0,30}\binstead\b|\binstead\b"
+_MARKER = r"^\W*@generated\b|^\W*<auto-?generated\b|^\W*code generated .* do not edit|^\W*do not edit(?: this file| by hand| manually)?\W*$|^\W*[#@] sourcemappingurl="
+_PACKAGE = r"(?<![\w.])[\w.+-]*[a-z][\w.+-]*(?:@|[ -]v?|\s\(\s*(?:release|version|rev|tag|v)?\s*v?)\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?"
+_ORIGIN = r"\b(?:upstream|vendor(?:ed)?|bundled|copy|copied|cop(?:y|ies) of|imported|mirror(?:ed)?|third[- ]party|distribut(?:ed|ion)|release|released|maintainers?|contributors|fork(?:ed)?|backport(?:ed)?|snapshot of|taken|pulled)\b|spdx|\blicen[cs]ed?\b"
 _BUILT_NAMES = r"(?:[.-]min|\.bundle)\.[cm]?[jt]s$"
 _VENDOR_PATH = r"(?:^|/)(?:third[_-]?party|external|upstream|vendored)/[^/]*-v?\d+(?:\.\d+)+/"
-_COMMENT = r"^\s*(?://|#(?!\s*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|region|\[|!\[))|/\*|\*|--|<!--|$)"
+_SIGNS = r"//|#(?!\s*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|region|\[|!\[))|/\*|\*|--|<!--"
+_COMMENT = rf"^\s*(?:{_SIGNS}|$)"
+_COMMENT_LINE = rf"^[ \t]*+(?:{_SIGNS})[^\n]*+"
 
 
 def _comments(lines: Column) -> Column:
@@ -51,9 +57,19 @@ def _comments(lines: Column) -> Column:
     return F.when(first == 0, lines).otherwise(both)
 
 
-def _begins(comments: Column, patterns: list[str]) -> Column:
-    pattern = r"(?i)^\s*(?://+|#+|/?\*+!?|--|<!--)?\s*(?:" + "|".join(patterns) + ")"
-    return F.exists(comments, lambda x: x.rlike(pattern))
+def _statements(comments: Column) -> Column:
+    """Each comment line in lower case without its signs, with the next one: what a sentence over two lines says."""
+    bare = F.filter(F.transform(comments, lambda x: F.lower(F.trim(F.regexp_replace(x, r"^\s*(?://+|#+(?!!)|/?\*+[!/]?|--|<!--)", "")))), lambda x: x != "")
+    return F.transform(bare, lambda x, i: F.struct(x.alias("own"), F.concat_ws(" ", x, F.get(bare, i + 1)).alias("both")))
+
+
+def _tells_generated(statements: Column) -> Column:
+    evidence = rf"{_TOOL}|{_SOURCE}|{_FORBID}"
+    return F.exists(statements, lambda x: x["own"].rlike(_MARKER) | (x["own"].rlike(_MAKING) & F.regexp_replace(x["both"], _MAKING, "").rlike(evidence)))
+
+
+def _tells_origin(statements: Column) -> Column:
+    return F.exists(statements, lambda x: x["own"].rlike(_PACKAGE) & x["both"].rlike(_ORIGIN) & ~x["own"].rlike(_MAKING))
 
 
 def ignore_regex(line: str) -> tuple[str, bool, bool] | None:
@@ -101,16 +117,32 @@ def ignore_regex(line: str) -> tuple[str, bool, bool] | None:
     return f"^{out}$", negated, only_dirs
 
 
-_RULE = "array<struct<regex:string,negated:boolean,dirs:boolean>>"
+def ignored_path(path: str, rules: list[tuple[re.Pattern[str], bool, bool]]) -> bool:
+    """Whether the last matching line excludes the path or a directory above it."""
+    parts = path.split("/")
+    for i in range(1, len(parts) + 1):
+        prefix, state = "/".join(parts[:i]), False
+        for regex, negated, dirs in rules:
+            if not (dirs and i == len(parts)) and regex.match(prefix):
+                state = not negated
+        if state:
+            return True
+    return False
+
+
+@lru_cache(maxsize=4096)
+def _rules(lines: tuple[str, ...]) -> list[tuple[re.Pattern[str], bool, bool]]:
+    return [(re.compile(r[0], re.DOTALL), r[1], r[2]) for r in map(ignore_regex, lines) if r]
 
 
-def _compiled(patterns: Column) -> Column:
-    @F.pandas_udf(_RULE)
-    def compiled(rows: pd.Series) -> pd.Series:
-        found = rows.map(lambda lines: [r for r in map(ignore_regex, [] if lines is None else list(lines)) if r])
-        return found.map(lambda rules: [{"regex": a, "negated": b, "dirs": c} for a, b, c in rules])
+def _ignored(path: Column, patterns: Column) -> Column:
+    """Whether a repository's lines exclude a path: its lines are compiled once in each worker."""
 
-    return compiled(patterns)
+    @F.pandas_udf("boolean")
+    def excluded(paths: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([False if own is None or p is None else ignored_path(p, _rules(tuple(own))) for p, own in zip(paths, lines, strict=True)], dtype=bool)
+
+    return excluded(path, patterns)
 
 
 def _prefixes(path: Column) -> Column:
@@ -119,18 +151,10 @@ def _prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
-def _ignored(prefixes: Column, rules: Column) -> Column:
-    """Whether the last matching line excludes the path or a directory above it."""
-    whole = F.element_at(prefixes, -1)
-
-    def excluded(prefix: Column) -> Column:
-        return F.aggregate(rules, F.lit(False), lambda state, r: F.when((~r["dirs"] | (prefix != whole)) & F.rlike(prefix, r["regex"]), ~r["negated"]).otherwise(state))
-
-    return F.exists(prefixes, excluded)
-
-
-def _text_hash(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("other")
+def _code(text: Column, path: Column) -> Column:
+    """A text without comment lines and white space, so that an edited header or layout hides no copy; of prose only white space goes."""
+    bare = F.regexp_replace(text, r"(?m)" + _COMMENT_LINE, "")
+    return F.regexp_replace(F.when(F.lower(path).rlike(r"\.(?:md|markdown|txt|rst)$"), text).otherwise(bare), r"\s+", "")
 
 
 def shared_trees(files: DataFrame) -> DataFrame:
@@ -141,13 +165,17 @@ def shared_trees(files: DataFrame) -> DataFrame:
 def shared_versions(files: DataFrame) -> DataFrame:
     """(repo, path, hash, other) of the files of (repo, path, text) that stand in a tree, or are a file, that unrelated repositories share.
 
-    A Merkle hash is made bottom-up: of a file from its text, of a directory from the names and
+    A Merkle hash is made bottom-up: of a file from its code (without comments and white space), of a directory from the names and
     hashes of its children, combined in any order so that no directory is gathered. Repositories whose
-    whole trees are equal are copies of each other, not unrelated. Trees with less than
-    SHARED_CHARS characters don't count. Each text of a path is a file of its own; in the hashes of
+    whole trees are equal are copies of each other, not unrelated. What n repositories share counts if it holds
+    SHARED_CHARS / log3(n + 1) characters of code. A directory of which PARTIAL_SHARE of the code (repeated texts once), in PARTIAL_FILES texts or more, stands in
+    unrelated repositories, is an edited copy, with all that is in it; a repository of FORK_FILES or more texts of which this holds as a whole is a fork
+    or the origin, and none of its files is listed. Each text of a path is a file of its own; in the hashes of
     directories the one with the least hash stands for its path, and only that one stands in their trees.
     """
-    files = files.filter("path is not null and path <> ''").select(F.coalesce("repo", F.lit("")).alias("repo"), "path", *_text_hash(F.col("text")), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
+    code = _code(F.coalesce("text", F.lit("")), F.col("path"))
+    files = files.filter("path is not null and path <> ''").select(F.coalesce("repo", F.lit("")).alias("repo"), "path", code.alias("code"))
+    files = files.select("repo", "path", F.xxhash64("code").alias("hash"), F.xxhash64(F.lit(1), "code").alias("other"), F.length("code").cast("bigint").alias("size"))
     versions = materialize(files.distinct().withColumn("depth", F.size(F.split("path", "/"))))
     nodes = versions.groupBy("repo", "path", "depth").agg(F.min(F.struct("hash", "other", "size")).alias("h"))
     nodes = materialize(nodes.select("repo", "path", "h.*", "depth"))
@@ -167,21 +195,34 @@ def shared_versions(files: DataFrame) -> DataFrame:
         parts.append(above.select("*", (~leaf).alias("leaf")))
     trees = materialize(reduce(DataFrame.unionByName, parts))
     roots = trees.filter("depth = 0").select("repo", F.col("hash").alias("root"))
-    held = trees.filter((F.col("size") >= SHARED_CHARS) & (F.col("depth") > 0))
-    known = held.join(roots, "repo").groupBy("hash", "other").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    shared = materialize(held.join(known.filter("least <> most").select("hash", "other"), ["hash", "other"], "left_semi"))
-    trees = shared.filter("not leaf").select("repo", F.col("path").alias("prefix"))
+    held = trees.filter("size > 0 and depth > 0")
+    # Distinct roots are counted in two steps, so that no hash that many repositories hold is gathered.
+    known = held.join(roots, "repo").select("hash", "other", "size", "root").distinct().groupBy("hash", "other", "size").agg(F.count(F.lit(1)).alias("n"))
+    known = materialize(known.filter("n > 1").select("hash", "other", (F.col("size") * F.log(3.0, F.col("n") + 1)).alias("weight")))
+    shared = materialize(held.join(known, ["hash", "other"]))
+    large = shared.filter(F.col("weight") >= SHARED_CHARS)
+    # Directories by the share of their code that stands elsewhere.
+    own = nodes.filter("size > 0").join(known.withColumn("elsewhere", F.lit(True)), ["hash", "other"], "left")
+    above = F.concat(F.array(F.lit("")), F.slice(_prefixes(F.col("path")), F.lit(1), F.col("depth") - 1))
+    share = own.select("repo", "size", "hash", "other", "elsewhere", F.explode(above).alias("prefix")).distinct().groupBy("repo", "prefix").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("elsewhere"), F.col("size"))).alias("same"), F.count("elsewhere").alias("same_files")
+    )
+    share = materialize(share.filter(F.col("same") >= F.col("size") * PARTIAL_SHARE))
+    forks = share.filter((F.col("prefix") == "") & (F.col("files") >= FORK_FILES)).select("repo")
+    partial = share.filter((F.col("prefix") != "") & (F.col("same_files") >= PARTIAL_FILES) & (F.col("same") >= SHARED_CHARS)).select("repo", "prefix")
+    trees = large.filter("not leaf").select("repo", F.col("path").alias("prefix")).unionByName(partial).distinct()
     inside = nodes.select("repo", "path", "hash", "other", F.explode(_prefixes(F.col("path"))).alias("prefix")).join(trees, ["repo", "prefix"], "left_semi")
     version = ["repo", "path", "hash", "other"]
-    return shared.filter("leaf").select(*version).unionByName(inside.select(*version)).distinct()
+    found = large.filter("leaf").select(*version).unionByName(inside.select(*version)).distinct()
+    return found.join(forks, "repo", "left_anti")
 
 
 def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id: str = "doc_id", path: str = "path", text: str = "text", repo: str = "repo") -> DataFrame:
     """(id, repo, path, language, generated, minified, vendored, data, skipped, ignored) of each source file.
 
-    generated: a comment at the top or end says so, or the lines are numbered families of one
-    shape. minified: a script almost without blanks, or a name of a built file. vendored: shared
-    with unrelated repositories by the hash tree, a notice of the third party's release, or a directory of a
+    generated: a comment at the top or end says how the file itself was made (see the header rules above), or
+    the lines are numbered families of one shape. minified: a script almost without blanks, or a name of a built file. vendored: shared
+    with unrelated repositories by the hash tree, a comment that names a package's release as the origin, or a directory of a
     release below a third-party one. data: mostly one encoded literal or numbers. skipped: below
     a directory that the language's rule skips. ignored: matched by the repository's ignore lines, if its gitignore flag is set. Null and
     empty texts are judged by path only; a document without a path is no source file; a repository without ignore rules ignores nothing.
@@ -196,12 +237,12 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
     words = F.regexp_count(body, F.lit(r"\w+(?:\.\d+)?"))
     numbers = F.regexp_count(body, F.lit(r"\b(?:0x[\da-fA-F]+|\d+(?:\.\d+)?)\b"))
     script = F.col("language").isin("js", "ts")
-    judged = files.select(
-        "id", "repo", "path", "language", *_text_hash(F.col("text")),
-        _begins(comments, _GENERATED).alias("told"),
+    judged = files.withColumns({"said": _statements(comments), "code": _code(body, F.col("path"))}).select(
+        "id", "repo", "path", "language", F.xxhash64("code").alias("hash"), F.xxhash64(F.lit(1), "code").alias("other"),
+        _tells_generated(F.col("said")).alias("told"),
         ((script & (size >= MINIFIED_CHARS) & (size - solid < size * MINIFIED_BLANKS)) | F.lower("path").rlike(_BUILT_NAMES)).alias("minified"),
-        (_begins(comments, _UPSTREAM) | F.lower("path").rlike(_VENDOR_PATH)).alias("upstream"),
-        ((encoded >= size * ENCODED_SHARE) & (encoded >= SHARED_CHARS) | (numbers >= words * NUMBER_SHARE) & (numbers >= NUMBERS)).alias("data"),
+        (_tells_origin(F.col("said")) | F.lower("path").rlike(_VENDOR_PATH)).alias("upstream"),
+        ((encoded >= size * ENCODED_SHARE) & (encoded >= ENCODED_CHARS) | (numbers >= words * NUMBER_SHARE) & (numbers >= NUMBERS)).alias("data"),
         F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("lines"),
         F.filter(lines, lambda x: x.rlike(r"[A-Za-z_](?:0\d+|\d{2,})\b")).alias("numbered"),
     )
@@ -216,13 +257,13 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
     judged = judged.join(tree.select(F.col("repo").alias("t_repo"), F.col("path").alias("t_path"), F.col("hash").alias("t_hash"), F.col("other").alias("t_other"), F.lit(True).alias("shared")), (F.coalesce("repo", F.lit("")) == F.col("t_repo")) & (F.col("path") == F.col("t_path")) & (F.col("hash") == F.col("t_hash")) & (F.col("other") == F.col("t_other")), "left")
     skips = rules.select("language", "skip_dirs")
     judged = judged.join(broadcast_if_small(skips, 10_000), "language", "left")
-    lists = ignores.filter("gitignore").select(F.col("repo").alias("i_repo"), _compiled(F.col("patterns")).alias("rules"))
-    judged = judged.join(lists, F.col("repo") == F.col("i_repo"), "left").withColumn("prefixes", _prefixes(F.col("path")))
-    above = F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)
-    names = F.transform(above, lambda x: F.element_at(F.split(x, "/"), -1))
+    lists = ignores.filter("gitignore").select(F.col("repo").alias("i_repo"), "patterns")
+    judged = judged.join(lists, F.col("repo") == F.col("i_repo"), "left")
+    names = F.split("path", "/")
+    names = F.slice(names, F.lit(1), F.size(names) - 1)
     yes = lambda c: F.coalesce(c, F.lit(False))
     return judged.select(
         "id", "repo", "path", "language", (yes(F.col("told")) | yes(F.col("family"))).alias("generated"), yes(F.col("minified")).alias("minified"),
         (yes(F.col("upstream")) | yes(F.col("shared"))).alias("vendored"), yes(F.col("data")).alias("data"),
-        yes(F.arrays_overlap(names, "skip_dirs")).alias("skipped"), yes(_ignored(F.col("prefixes"), F.col("rules"))).alias("ignored"),
+        yes(F.arrays_overlap(names, "skip_dirs")).alias("skipped"), yes(_ignored(F.col("path"), F.col("patterns"))).alias("ignored"),
     )

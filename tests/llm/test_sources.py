@@ -238,3 +238,58 @@ def test_faults_inside_blocks(spark):
     ]
     got = run(spark, [*bad, *good])
     assert [f for i, f in enumerate([*bad, *good]) if got[i] != (i >= len(bad))] == []
+
+
+# Wordings that no rule was written from, and decoys that speak of such things.
+TOLD = {
+    "generated": [
+        "This module was produced with asn1tool from specs/records.asn; changes vanish at the next build.",
+        "Auto-generated from grammar.y using bison-like.",
+        "Compiled from views/page.tmpl by `htmlc`.",
+        "File created automatically by protoc-x. Never modify it.",
+        "Machine generated, not to be edited.",
+        "Output of: regen --schema api/v2.yaml (do not change)",
+        "NOTE: this code is derived from model/units.csv via unitgen",
+    ],
+    "vendored": [
+        "Taken from fastmath v3.2.1, see its home page.",
+        "leftpad@1.3.0, distributed under the MIT license",
+        "Imported snapshot of zlite-1.2.11",
+        "Mirror of the parser-kit (version 0.9.12) sources",
+    ],
+    None: [
+        "Generates banners for the files that protoc writes from specs/records.asn.",
+        "Tests that output created by the writer is not edited by others.",
+        "Do not change the order of these rows without asking the core team.",
+        "Rewritten from scratch after an idea in fastmath.",
+        "Parses version 1.2.3 of the wire format.",
+        "Copyright 2024 the harbor team. Licensed under the terms in LICENSE of this repository.",
+        "Reads conf/limits.yaml and checks that no value was edited by hand.",
+        "Emits one event for each file in data/list.csv.",
+    ],
+}
+
+
+def test_header_rules_hold_for_other_wordings(spark):
+    hand = "x = 1\n" * 5
+    rows = [(i, f"r{i}", f"src/a{i}.py", f"# {text}\n{hand}y = {i}\n", "", "", kind) for i, (kind, text) in enumerate((k, t) for k, texts in TOLD.items() for t in texts)]
+    docs = spark.createDataFrame([r[:6] for r in rows], DOCS)
+    rules = spark.createDataFrame(RULES, "language string, extensions array<string>, skip_dirs array<string>")
+    ignores = spark.createDataFrame([], "repo string, gitignore boolean, patterns array<string>")
+    got = {r["id"]: next((k for k in ("generated", "vendored") if r[k]), None) for r in foreign_files(docs, rules, ignores).collect()}
+    assert [(r[3].split("\n")[0], got[r[0]]) for r in rows if got[r[0]] != r[6]] == []
+
+
+def test_copies_with_edits_forks_and_boilerplate(spark):
+    lib = {f"u{i}.c": f"int f{i}(int a) {{ return a * {i} + {i * i}; }}\n" * 6 for i in range(6)}
+    own = lambda r, n=8: [(r, f"own/{r}{i}.c", f"int {r}_{i}(void) {{ return {i}; }}\n" * 9) for i in range(n)]
+    files = [("a", f"deps/lib/{n}", t) for n, t in lib.items()] + own("a")
+    # An edited header hides nothing; one file of the tree was changed, which makes the directory a copy in part.
+    files += [("b", f"x/y/{n}", ("// Our copy\n\n" + t) if n != "u0.c" else t.replace("return", "return 1 +")) for n, t in lib.items()] + own("b")
+    # A fork of a whole repository, with one change, is none, nor is its origin.
+    origin = [("o", p.replace("own/o", "src/s"), t) for _, p, t in own("o", 12)]
+    files += origin + [("f", p, t if i else "int changed;") for i, (_, p, t) in enumerate(origin)]
+    # Empty and tiny files that everybody has are no copies.
+    files += [(r, "pkg/__init__.py", "") for r in "abof"] + [(r, "pkg/setup.py", "main()\n") for r in "abof"]
+    got = {tuple(r) for r in shared_trees(spark.createDataFrame(files, "repo string, path string, text string")).collect()}
+    assert got == {("a", f"deps/lib/{n}") for n in lib if n != "u0.c"} | {("b", f"x/y/{n}") for n in lib} | {("a", "deps/lib/u0.c")}
