@@ -41,20 +41,19 @@ _FORBID = r"\b(?:do not|don't|never|not for|not to be|must not|no)\b[^.]{0,20}\b
 _MARKER = r"^\W*@generated\b|^\W*<auto-?generated\b|^\W*code generated .* do not edit|^\W*do not edit(?: this file| by hand| manually)?\W*$|^\W*[#@] sourcemappingurl="
 _PACKAGE = r"(?<![\w.])[\w.+-]*[a-z][\w.+-]*(?:@|[ -]v?|\s\(\s*(?:release|version|rev|tag|v)?\s*v?)\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?"
 _ORIGIN = r"\b(?:upstream|vendor(?:ed)?|bundled|copy|copied|cop(?:y|ies) of|imported|mirror(?:ed)?|third[- ]party|distribut(?:ed|ion)|release|released|maintainers?|contributors|fork(?:ed)?|backport(?:ed)?|snapshot of|taken|pulled)\b|spdx|\blicen[cs]ed?\b"
+_NUMBERED = r"[A-Za-z_](?:0\d+|\d{2,})\b"
 _BUILT_NAMES = r"(?:[.-]min|\.bundle)\.[cm]?[jt]s$"
 _VENDOR_PATH = r"(?:^|/)(?:third[_-]?party|external|upstream|vendored)/[^/]*-v?\d+(?:\.\d+)+/"
 _SIGNS = r"//|#(?!\s*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|region|\[|!\[))|/\*|\*|--|<!--"
-_COMMENT = rf"^\s*(?:{_SIGNS}|$)"
+_COMMENT_ROW = rf"(?!\z)[ \t\r]*+(?:(?:{_SIGNS})[^\n]*+)?+(?:\n|\z)"
 _COMMENT_LINE = rf"^[ \t]*+(?:{_SIGNS})[^\n]*+"
 
 
-def _comments(lines: Column) -> Column:
+def _comments(text: Column) -> Column:
     """The comment lines before the first and after the last line of code."""
-    code = F.transform(lines, lambda x: ~x.rlike(_COMMENT))
-    first = F.array_position(code, True)
-    last = F.array_position(F.reverse(code), True)
-    both = F.concat(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.slice(lines, (F.size(lines) - last + 2).cast("int"), F.size(lines)))
-    return F.when(first == 0, lines).otherwise(both)
+    first = F.regexp_extract(text, rf"\A(?:{_COMMENT_ROW})*+", 0)
+    last = F.regexp_extract(text, rf"(?<=\n)(?:{_COMMENT_ROW})++\z", 0)
+    return F.split(F.when(F.length(first) == F.length(text), first).otherwise(F.concat_ws("\n", first, last)), r"\r?\n")
 
 
 def _statements(comments: Column) -> Column:
@@ -230,12 +229,13 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
     files = materialize(source_files(docs, rules, id=id, path=path, text=text, repo=repo))
     body = F.coalesce("text", F.lit(""))
     lines = F.split(body, r"\r?\n")
-    comments = _comments(lines)
+    comments = _comments(body)
     size = F.length(body)
     solid = F.length(F.regexp_replace(body, r"\s+", ""))
     encoded = size - F.length(F.regexp_replace(body, r"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-fA-F]{2}){20,}", ""))
     words = F.regexp_count(body, F.lit(r"\w+(?:\.\d+)?"))
     numbers = F.regexp_count(body, F.lit(r"\b(?:0x[\da-fA-F]+|\d+(?:\.\d+)?)\b"))
+    many = F.regexp_count(body, F.lit(_NUMBERED)) >= NUMBERED_LINES
     script = F.col("language").isin("js", "ts")
     judged = files.withColumns({"said": _statements(comments), "code": _code(body, F.col("path"))}).select(
         "id", "repo", "path", "language", F.xxhash64("code").alias("hash"), F.xxhash64(F.lit(1), "code").alias("other"),
@@ -243,8 +243,8 @@ def foreign_files(docs: DataFrame, rules: DataFrame, ignores: DataFrame, *, id:
         ((script & (size >= MINIFIED_CHARS) & (size - solid < size * MINIFIED_BLANKS)) | F.lower("path").rlike(_BUILT_NAMES)).alias("minified"),
         (_tells_origin(F.col("said")) | F.lower("path").rlike(_VENDOR_PATH)).alias("upstream"),
         ((encoded >= size * ENCODED_SHARE) & (encoded >= ENCODED_CHARS) | (numbers >= words * NUMBER_SHARE) & (numbers >= NUMBERS)).alias("data"),
-        F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("lines"),
-        F.filter(lines, lambda x: x.rlike(r"[A-Za-z_](?:0\d+|\d{2,})\b")).alias("numbered"),
+        F.when(many, F.size(F.filter(lines, lambda x: F.trim(x) != ""))).alias("lines"),
+        F.when(many, F.filter(lines, lambda x: x.rlike(_NUMBERED))).alias("numbered"),
     )
     # A line's shape: letters and digits taken together; its number: that of its first numbered name.
     shape = F.regexp_replace(F.regexp_replace(F.trim("line"), "[A-Za-z_]+", "a"), r"\d+", "9")
