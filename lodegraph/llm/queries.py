@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm.handwritten import foreign_files
-from lodegraph.llm.leakage import leaked_items
+from lodegraph.llm.leakage import leaked_items, leaked_passages
 from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs, sql_form
 from lodegraph.llm.mixing import mix_sources
 from lodegraph.llm.syntax import invalid_files, invalid_rates
@@ -64,6 +64,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with edited passages, and how similar the most similar one is."""
+    return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items")).withColumn("similarity", F.round("similarity", 6))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed corpus in its shuffled order."""
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -84,7 +89,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p4_found": p4_found, "p4_reasons": p4_reasons, "p6_found": p6_found, "p6_rates": p6_rates, "p8_found": p8_found, "p8_near": p8_near, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 _P1 = r"""
 WITH d AS (

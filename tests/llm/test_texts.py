@@ -2,10 +2,11 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm.leakage import leaked_items, words_of
+from lodegraph.llm.leakage import leaked_items, leaked_passages, shingle_similarity, words_of
 from lodegraph.llm.lookalike import canonical_texts, lookalike_pairs
 from lodegraph.llm.mixing import capped_mean, mix_sources, plan_rates, poisson_mean
 
@@ -55,11 +56,57 @@ def test_windows_cross_no_documents_and_long_texts_are_whole(spark):
     assert leaks(spark, docs, [(7, item)]) == {(2, 7), (4, 7)}
 
 
-def test_near_passages_on_request(spark):
-    w = WORDS[:15]
-    near = w[:14] + ["other"]
-    assert leaks(spark, [(1, " ".join(near))], [(7, " ".join(w))]) == set()
-    assert leaks(spark, [(1, " ".join(near))], [(7, " ".join(w))], radius=15, similarity=0.8) in ({(1, 7)}, set())
+def test_edited_passages_against_brute_force(spark):
+    """Of the documents whose windows reach a similarity of 0.8 with an item's, at least 0.9 are found; and nothing else is."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = [(i, rng.choices(vocabulary, k=rng.choice([13, 14, 15, 20, 40]))) for i in range(60)]
+    docs = []
+    for d in range(600):
+        w = list(rng.choice(items)[1])
+        at = rng.randrange(max(len(w) - 14, 1))
+        part = w[at : at + 15]
+        part[rng.choice([0, -1, 0, -1, 1, 7])] = "edited"
+        docs.append((d, rng.choices(vocabulary, k=20) + part + rng.choices(vocabulary, k=20)))
+    known = [(i, " ".join(w[k : k + min(15, len(w))])) for i, w in items for k in range(max(len(w) - 14, 1))]
+    holders = {}
+    for i, passage in known:
+        p = passage.split(" ")
+        for k in range(len(p) - 4):
+            holders.setdefault(tuple(p[k : k + 5]), set()).add((i, passage))
+    expected = {}
+    for d, w in docs:
+        for size in {len(p.split(" ")) for _, p in known}:
+            for k in range(len(w) - size + 1):
+                part = w[k : k + size]
+                for i, passage in set().union(*(holders.get(tuple(part[j : j + 5]), set()) for j in range(size - 4))):
+                    if passage.count(" ") + 1 == size and (score := shingle_similarity(" ".join(part), passage)) >= 0.8:
+                        expected[d, i] = max(score, expected.get((d, i), 0))
+    frames = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in leaked_passages(*frames).collect()}
+    assert set(got) <= set(expected) and all(got[k] <= expected[k] + 1e-12 for k in got)
+    assert len(expected) > 200 and len(got) >= 0.9 * len(expected), (len(got), len(expected))
+    print("recall", len(got), len(expected))
+    assert leaked_passages(*frames).filter("exact").count() == 0
+    with pytest.raises(ValueError):
+        leaked_passages(*frames, radius=6)
+
+
+def test_fingerprints_within_the_radius_share_a_block_value():
+    from lodegraph.llm.leakage import _bitmap, _slots
+
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 1 << 32, (200, 3), dtype=np.uint32)
+    bits, size = _bitmap(prints)
+    for p in prints:
+        q = p.copy()
+        for k in rng.choice(96, 5, replace=False):
+            q[k // 32] ^= np.uint32(1 << (k % 32))
+        slots = [int(_slots(q[b : b + 1], b, size)[0]) for b in range(3)]
+        assert any(bits[s >> 3] >> (s & 7) & 1 for s in slots)
+
+
+def test_leaks_of_nothing(spark):
     assert leaks(spark, [], [(7, "a b")]) == set() == leaks(spark, [(1, "a b")], [])
 
 
