@@ -21,10 +21,10 @@ _LINE = r"//[^\n]*+"
 _NEWLINE = r"\n[ \t]*+"
 
 # Token classes: I name, V value word, N number, S text, T template, L label or lifetime, Q word
-# that is a keyword in places, H keyword that begins a statement, K other keyword, E keyword that may end a statement, D directive,
-# B operator with operands on both sides, P other operator, X what no valid file has, EOL, EOF;
+# that is a keyword in places, H keyword that begins a statement, O else, R return, E other keyword that may end a statement,
+# K other keyword, D directive, B operator with operands on both sides, P other operator, X what no valid file has, EOL, EOF;
 # brackets , ; : . stand for themselves.
-_CLASSES = ["I", "V", "N", "S", "T", "L", "Q", "K", "H", "E", "D", "B", "P", "(", ")", "[", "]", "{", "}", ",", ";", ":", ".", "EOL", "EOF"]
+_CLASSES = ["I", "V", "N", "S", "T", "L", "Q", "K", "H", "O", "R", "E", "D", "B", "P", "(", ")", "[", "]", "{", "}", ",", ";", ":", ".", "EOL", "EOF"]
 _STARTS = ["I", "V", "N", "S", "T"]
 _ENDS = [*_STARTS, ")", "]"]
 
@@ -44,14 +44,26 @@ class Grammar:
     #: Classes after which, without a line end or terminator, no new statement begins.
     unfinished: str = ""
     ending: str = ""
+    #: The words of the classes O and R.
+    alternative: str = ""
+    returns: str = ""
     soft: str = ""
     binary: str = ""
     other: str = ""
     #: Pairs beyond the general rule that are allowed or not, as "class class".
     allowed: tuple[str, ...] = ()
     barred: tuple[str, ...] = ()
+    #: Classes that may stand before and after an O, where the grammar rules out all others.
+    before_alternative: str = ""
+    after_alternative: str = ""
+    #: Whether names after a "." may be keywords; how many ";" the brackets after "for" hold, none for any, and whether others may hold one.
+    members: bool = False
+    loop_parts: tuple[int, ...] = ()
+    parts_elsewhere: bool = True
     #: Runs of three classes that are not allowed, as "class class class".
     triples: tuple[str, ...] = ()
+    #: Whether four names in a row are none, of which soft words are no part.
+    few_names: bool = False
     #: Pattern of a number token; of directives, with the form that a valid one has.
     number_token: str = _NUMBER
     directive: str = ""
@@ -81,8 +93,12 @@ class Grammar:
         closing = [")", "]", "}", ",", ";", "B", ".", "EOF"]
         out -= set(product(["B", "."], closing)) | set(product(["(", "[", "{", ","], ["B"]))
         out -= {(".", "N"), (".", "S"), (".", "T"), (".", ":"), (",", ","), (",", ";"), ("(", ","), ("[", ","), ("N", "("), ("N", "{") if self.name == "python" else ("N", "T")}
-        out -= {(x, "EOF") for x in ("B", "P", ".", ",", "K", "H", "(", "[", "{", ":", "L")}
-        out -= set(product(self.unfinished.split(), ["H", "E"]))
+        out -= {(x, "EOF") for x in ("B", "P", ".", ",", "K", "H", "O", "(", "[", "{", ":", "L")}
+        out -= set(product(self.unfinished.split(), ["H", "R", "E"])) | {(x, "O") for x in self.unfinished.split() if x != "}"}
+        out -= {(x, "O") for x in _CLASSES if self.before_alternative and x not in self.before_alternative.split()}
+        out -= {("O", x) for x in _CLASSES if self.after_alternative and x not in self.after_alternative.split()}
+        if self.returns:
+            out -= set(product(["R"], ["R", "H", "O"])) | set(product(["E"], ["R", "H", "O"]))
         split = lambda texts: {tuple(t.split(" ")) for t in texts}
         return (out | split(self.allowed)) - split(self.barred)
 
@@ -90,6 +106,9 @@ class Grammar:
 _C_OPS = r"<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]="
 _ASSIGN = "= == != <= >= += -= *= /= %= &= |= ^= <<= >>="
 
+#: What a target of a Python assignment can't have: an operator between operands, a call or a literal at its end.
+NO_TARGET = r"(?<=[INST)\]}] )(?:\*\*?|//?|[-+%@&|^<>]|<<|>>|==|!=|<=|>=|and|or|in|is|not|if|else)(?= )|(?:I|\(\)|\[\]) \(\)(?= =|$)|(?:^|(?<= = ))[NS](?= =|$)"
+
 PYTHON = Grammar(
     name="python",
     comment=r"#[^\n]*+",
@@ -142,14 +161,19 @@ GO = Grammar(
     name_pattern=_IDENT,
     operators=rf":=|<-|&\^=|&\^|{_C_OPS}",
     number=r"(?i)0x[\da-f_]*(\.[\da-f_]*)?(p[+-]?\d+)?i?|0b[01_]+i?|0o?[0-7_]+i?|\d[\d_]*\.?[\d_]*(e[+-]?\d+)?i?|\.\d[\d_]*(e[+-]?\d+)?i?",
-    words="chan const else func import interface map package range struct type var",
+    words="chan const func import interface map package range struct type var",
     heads="case defer for go goto if select switch",
     unfinished="I N S ) ] }",
-    ending="break continue default fallthrough return",
+    ending="break continue default fallthrough",
+    alternative="else",
+    returns="return",
+    before_alternative="}",
+    after_alternative="H {",
+    loop_parts=(0,),
     binary=_ASSIGN + " := &^= / % || >> << &^",
     other="+ - * & | ^ ! < > <- ++ -- && ~ ...",
     allowed=("I I", ") I", "] I", "I S", "B EOL"),
-    barred=("K }", "H }", "H )", "H ]", "H ,", "B H", "P H", ". H", ", H", "( H", "[ H"),
+    barred=("E E", "R E", "K }", "H }", "H )", "H ]", "H ,", "B H", "P H", ". H", ", H", "( H", "[ H"),
     triples=("I I I", "H EOL }", "K EOL }"),
     lines=True,
     carries="B , . P K H",
@@ -174,15 +198,18 @@ RUST = Grammar(
     number=r"0x[\da-fA-F_]+([iu](8|16|32|64|128|size))?|0b[01_]+([iu](8|16|32|64|128|size))?|0o[0-7_]+([iu](8|16|32|64|128|size))?|\d[\d_]*(\.[\d_]*)?([eE][+-]?[\d_]+)?_?([iuf](8|16|32|64|128|size))?",
     number_token=r"(?:\d\w*+\.\d\w*+|\d\w*+)(?:(?<=\d[eE])[+-]\w++)?",
     values="self Self super crate true false",
-    words="as async await const dyn else enum extern fn for if impl in mod move mut pub ref static struct trait type unsafe use where",
+    words="as async await const dyn enum extern fn for if impl in mod move mut pub ref static struct trait type unsafe use where",
     heads="let loop match while",
     unfinished="N S",
     ending="break continue return",
+    alternative="else",
+    after_alternative="K {",
+    members=True,
     soft="union macro_rules default auto",
     binary=_ASSIGN + " % <<",
     other="+ - * / & && | || ! ? < > >> -> => :: .. ..= ... ^ # @ $ ++ -- ~ _",
     allowed=("] I", ". N", "B ,", "B }"),
-    barred=("B ,", "B }", "H }"),
+    barred=("B ,", "B }", "H }", "K }", "I H", ") H", "V H", "I E", ") E", "V E", ", O", "; O", "( O", "[ O"),
     productions={
         "use": r"use (?::: )?[^()\[\]]+ ;",
         "fn": r".*fn I (?:< .+ > )?\(\) (?:-> .+ )?(?:where .+ )?(?:\{\}|;)",
@@ -204,7 +231,7 @@ RUST = Grammar(
     block_goes_on="; . ? , = as :: )",
 )
 
-_JS_WORDS = "catch class const delete else export extends finally function import in instanceof let new typeof void with"
+_JS_WORDS = "catch class const delete extends finally function import in instanceof let new typeof void with"
 _JS_HEADS = {
     "if": r"if \(\) .+",
     "for": r"for (?:await )?\(\) .+",
@@ -246,11 +273,18 @@ def _script(name: str, typed: bool) -> Grammar:
         words=_JS_WORDS + (" enum" if typed else ""),
         heads="case do for if switch throw try var while",
         unfinished="I V N S T ]",
-        ending="break continue return debugger default yield",
-        soft="of from as get set static async await" + (" type interface declare namespace abstract readonly keyof infer is asserts public private protected override implements module unique satisfies" if typed else ""),
+        ending="break continue debugger default",
+        alternative="else",
+        returns="return",
+        members=True,
+        loop_parts=(0, 2),
+        parts_elsewhere=False,
+        soft="of from as get set static async await export yield" + (" type interface declare namespace abstract readonly keyof infer is asserts public private protected override implements module unique satisfies" if typed else ""),
         binary=_ASSIGN + " === !== / % & | ^ && || ?? ??= ||= &&= >>>= **= ** << => ?." + ("" if typed else " >> >>>"),
         other="+ - * ! ~ ? < > ++ -- ... @" + (" ? | & >> >>>" if typed else ""),
         allowed=(") I", ") V", ") N", ") S", ") T", "I T", "] T", ", ,", "[ ,", "B EOL", "} B", *(("( B", "] I", "; B", "[ B") if typed else ())),
+        barred=("K H", "K R", "K E", "K O", "H }", "O }", "O )", "O ]", "O ,", "O B", "O .", "O O", "E E", "R E", ", O", "( O", "[ O", "B O", "P O"),
+        triples=("H EOL }", "O EOL }", "K EOL }"),
         lines=True,
         carries="B , . P K H :",
         productions=own,
@@ -271,14 +305,20 @@ C = Grammar(
     operators=_C_OPS,
     number=r"(?i)(0x[\da-f']*(\.[\da-f]*)?(p[+-]?\d+)?|0b[01']+|\d[\d']*\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)[ulfz]*",
     words="enum sizeof struct typedef union",
-    heads="case do else for goto if switch while",
+    heads="case do for goto if switch while",
     unfinished="N S",  # a name may be a macro
-    ending="break continue default return",
+    ending="break continue default",
+    alternative="else",
+    returns="return",
+    loop_parts=(2,),
+    parts_elsewhere=False,
     binary=_ASSIGN + " / % | ^ && || << >> -> ?",
     other="+ - * & ! ~ < > ++ -- ...",
     allowed=("I I", ") I", ") N", ") S", "S S", "S I", "I S", "I (", "] I"),
-    barred=(", )", ", ]", ": :", "? ;", "B :", "P :", "S .", "K }", "H }", "H ]", "B H", "P H"),
-    triples=("I I H", "I I E"),
+    barred=(", )", ", ]", ": :", "? ;", "B :", "P :", "S .", "K }", "H }", "H ]", "B H", "P H", "O }", "O )", "O ]", "O ,", "O B", "O O", "B O", "P O", ", O", "( O", "[ O", "{ O", *(f"E {x}" for x in ("I", "N", "S", "K", "E")), "R E"),
+    soft="auto char const double extern float inline int long register restrict short signed static unsigned void volatile",
+    few_names=True,
+    triples=("I I H", "I I O", "I I R", "I I E", "Q I H", "Q I O", "Q I R", "Q I E"),
     productions={
         "typedef": r"typedef (?:(?:struct|union|enum) (?:I )?(?:\{\} )?|[I*,] |\(\) |\[\] |: N )++;",
     },
@@ -299,14 +339,21 @@ CSHARP = Grammar(
     number=r"(?i)(0x[\da-f_]+|0b[01_]+|\d[\d_]*\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)[ulfdm]*",
     values="this base true false null",
     words="as case catch class delegate do enum event explicit finally fixed implicit in interface is namespace new operator out params ref stackalloc struct switch throw try typeof using public private protected internal static sealed abstract partial readonly unsafe const override virtual extern async",
-    heads="else for foreach goto if lock while",
+    heads="for foreach goto if lock while",
     unfinished="N S",
-    ending="break continue return default get set init yield",
-    soft="record where when var await not and or file required add remove",
+    ending="break continue default",
+    alternative="else",
+    returns="return",
+    before_alternative="} ; D",
+    members=True,
+    loop_parts=(2,),
+    parts_elsewhere=False,
+    soft="record where when var await not and or file required add remove get set init yield from select orderby group into join let on equals by ascending descending partial global alias unmanaged scoped managed nameof with",
     binary=_ASSIGN + " / % | ^ && || << -> => ?? ??= :: ?.",
     other="+ - * & ! ~ ? < > >> ++ -- ..",
     allowed=("I I", ") I", ") V", ") N", ") S", "] I", "S S", "> I", ". .", "V I", "I V"),
-    barred=(", )", ": :", "I N", "V N", "I H", "V H", "] H", "H }", "H )", "H ]", "B H", ", H", "( H", "[ H"),
+    barred=(", )", ": :", "I N", "V N", "I H", "V H", "] H", "I R", "V R", "I E", "V E", "] R", "O }", "O )", "O ]", "O ,", "O B", "O O", "H }", "H )", "H ]", "B H", ", H", "( H", "[ H"),
+    triples=("I I I",),
     productions={
         "using": r"using (?:static )?(?:I = )?I(?: (?:\. I|:: I))*+(?: < .+ >(?: (?:\. I|:: I))*+)? ;|using (?:var |I )?.+ = .+ ;|using \(\) .*",
         "namespace": r"namespace I(?: \. I)* (?:;|\{\})",

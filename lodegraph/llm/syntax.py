@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodegraph.llm.grammars import ESCAPED, GRAMMARS, Grammar
+from lodegraph.llm.grammars import ESCAPED, GRAMMARS, NO_TARGET, Grammar
 from lodegraph.llm.paths import clean_path, extension
 from lodegraph.workspace import broadcast_if_small, materialize
 
@@ -37,10 +37,10 @@ def _vocabulary(spark: SparkSession) -> DataFrame:
     rows = []
     for g in GRAMMARS.values():
         known = {}
-        for cls, words in (("B", g.binary), ("P", g.other), ("V", g.values), ("K", g.words), ("H", g.heads), ("E", g.ending), ("Q", g.soft)):
+        for cls, words in (("B", g.binary), ("P", g.other), ("V", g.values), ("K", g.words), ("H", g.heads), ("E", g.ending), ("O", g.alternative), ("R", g.returns), ("Q", g.soft)):
             known |= {w: cls for w in words.split()}
         known |= {c: c for c in "()[]{},;:."} | {_END: "EOF"}
-        rows += [(g.name, token, cls) for token, cls in known.items()]
+        rows += [(g.name, token, cls) for token, cls in known.items() if token]
     return spark.createDataFrame(rows, "v_language string, v_token string, v_class string")
 
 
@@ -58,8 +58,11 @@ def _class(token: Column, language: Column) -> Column:
     directive = language.isin("c", "csharp") & F.ltrim(token).startswith("#")
     good = F.when(language == "c", token.rlike(GRAMMARS["c"].valid_directive)).otherwise(token.rlike(GRAMMARS["csharp"].valid_directive))
     marker = reduce(lambda a, b: a | b, [token.startswith(c * 7) for c in "<>|="])
+    # Most tokens are names in plain letters; texts end with their quote or a bracketing sign.
+    plain = first.between("A", "z") & ~first.isin("[", "\\", "]", "^", "`") & ~F.right(token, F.lit(1)).isin('"', "'", "`", "#")
     return (
-        F.when(first == "\n", "EOL")
+        F.when(plain, "I")
+        .when(first == "\n", "EOL")
         .when(marker | (token == "/*"), "X")
         .when(directive, F.when(good, "D").otherwise("X"))
         .when(token.rlike(r"^\.?\d"), number)
@@ -72,7 +75,10 @@ def _class(token: Column, language: Column) -> Column:
 
 
 def _tokens(files: DataFrame) -> DataFrame:
-    """(key, language, pos, token, class, step) of every token but comments, by files of (key, language, text)."""
+    """(key, language, pos, token, class, step, wide) of every token but comments, by files of (key, language, text).
+
+    The token of a line end is dropped; ``wide`` is the width of the blanks after it.
+    """
     language, token = F.col("language"), F.col("token")
     found = _by_language(language, lambda g: F.regexp_extract_all("plain", F.lit(g.lexer), F.lit(0)))
     rows = files.withColumn("plain", _plain(F.col("text"), language)).select("key", "language", F.posexplode(F.array_append(found, F.lit(_END))).alias("pos", "token"))
@@ -81,52 +87,72 @@ def _tokens(files: DataFrame) -> DataFrame:
     # The vocabulary is fixed: some hundred words of the grammars.
     rows = rows.join(F.broadcast(_vocabulary(files.sparkSession)), (language == F.col("v_language")) & (token == F.col("v_token")), "left")
     step = F.when(token.isin(*_OPEN), 1).when(token.isin(*_CLOSE), -1).otherwise(0)
-    return rows.select("key", "language", "pos", "token", F.coalesce("v_class", _class(token, language)).alias("class"), step.alias("step"))
+    cls = F.coalesce("v_class", _class(token, language))
+    rows = rows.select("key", "language", "pos", "token", cls.alias("class"), step.alias("step"))
+    # Of names, numbers and texts only the class matters from here on.
+    kept = F.when(~F.col("class").isin("I", "V", "N", "S", "T", "EOL", "D"), token)
+    return rows.withColumns({"token": kept, "wide": F.when(F.col("class") == "EOL", F.length(F.replace(token, F.lit("\t"), F.lit("        "))) - 1)})
 
 
-def _ill_paired(tokens: DataFrame) -> DataFrame:
-    """Keys of files with an impossible token, or a pair or run of three that the grammar doesn't permit.
+def _judged(tokens: DataFrame) -> DataFrame:
+    """(key, language, pos, class, symbol, indent, ill): the symbols of depth 0, and every token that no valid file has where it stands.
 
-    Adjacent tokens are anti-joined against the permissible pairs, a fixed table. Line ends inside brackets of
-    Python pair with everything.
+    One pass in the order of the file, and one by levels of nesting. Ill is a token without a
+    class, one that with the token before it is no permissible pair (an anti-join against the fixed table of the grammar,
+    which keeps the other rows; line ends inside brackets of Python pair with everything), one that ends a
+    run of three (or, of names, four) that the grammar rules out, a bracket without its partner, an else that no if of its block is left for, and
+    a terminator inside round brackets beyond those that a loop has. Names after a point may be keywords.
     """
-    order = Window.partitionBy("key", "language").orderBy("pos")
-    rows = tokens.withColumns({"before": F.lag("class").over(order), "second": F.lag("class", 2).over(order), "depth": F.sum("step").over(order)})
-    inside = (F.col("language") == "python") & (F.col("depth") > 0) & ((F.col("class") == "EOL") | (F.col("before") == "EOL"))
-    # A run of three that the grammar rules out counts as an impossible token.
+    order = Window.partitionBy("key").orderBy("pos")
+    language, token = F.col("language"), F.col("token")
+    word = F.col("class").isin("K", "H", "O", "R", "E", "Q") & language.isin(*[g.name for g in GRAMMARS.values() if g.members])
+    rows = tokens.withColumns({"last": F.lag("token").over(order), "depth": F.sum("step").over(order), "wide": F.lag("wide").over(order)})
+    member = word & F.coalesce(F.col("last").isin(".", "?."), F.lit(False))
+    rows = rows.withColumns({"class": F.when(member, "I").otherwise(F.col("class")), "token": F.when(~member, token)})
+    rows = rows.withColumns({"before": F.lag("class").over(order), "second": F.lag("class", 2).over(order), "third": F.lag("class", 3).over(order)})
+    rows = rows.join(F.broadcast(_pair_table(tokens.sparkSession).withColumn("known", F.lit(True))), ["language", "before", "class"], "left")
+    inside = (language == "python") & (F.col("depth") > 0) & ((F.col("class") == "EOL") | (F.col("before") == "EOL"))
     run = F.concat_ws(" ", "second", "before", "class")
-    three = reduce(lambda a, g: a | ((F.col("language") == g.name) & run.isin(*g.triples)), [g for g in GRAMMARS.values() if g.triples], F.lit(False))
-    pairs = rows.filter(~inside & (F.col("before").isNotNull() | (F.col("class") == "X"))).select("key", "language", F.coalesce("before", F.lit("")).alias("before"), F.when(three, "X").otherwise(F.col("class")).alias("class"))
-    return pairs.join(F.broadcast(_pair_table(tokens.sparkSession)), ["language", "before", "class"], "left_anti").select("key", "language").distinct()
-
-
-def _ill_nested(tokens: DataFrame) -> DataFrame:
-    """Keys of files whose brackets don't match: at every level an opening one is followed by its partner."""
-    order = Window.partitionBy("key", "language").orderBy("pos")
-    rows = tokens.filter("step <> 0").withColumn("depth", F.sum("step").over(order))
-    rows = rows.withColumn("level", F.when(F.col("step") > 0, F.col("depth")).otherwise(F.col("depth") + 1))
-    along = Window.partitionBy("key", "language", "level").orderBy("pos")
-    rows = rows.withColumns({"before": F.lag("token").over(along), "after": F.lead("token").over(along)})
-    partner = F.when(F.col("token") == ")", "(").when(F.col("token") == "]", "[").otherwise("{")
-    closes = (F.col("step") < 0) & ~F.coalesce(F.col("before") == partner, F.lit(False))
-    opens = (F.col("step") > 0) & F.col("after").isNull()
-    return rows.filter(closes | opens | (F.col("level") < 1)).select("key", "language").distinct()
-
-
-def _statements(tokens: DataFrame) -> DataFrame:
-    """(key, language, n, symbols, indent): top-level statements, of Python all logical lines.
-
-    A symbol is a token at depth 0, with a bracket and what it holds as one. Statements end at
+    three = reduce(lambda a, g: a | ((language == g.name) & run.isin(*g.triples)), [g for g in GRAMMARS.values() if g.triples], F.lit(False))
+    names = language.isin(*[g.name for g in GRAMMARS.values() if g.few_names])
+    names = names & (F.col("class") == "I") & (F.col("before") == "I") & (F.col("second") == "I") & (F.col("third") == "I")
+    three = three | F.coalesce(names, F.lit(False))
+    pair = ~inside & (((F.col("before").isNotNull() & F.col("known").isNull())) | three) | (F.col("class") == "X")
+    rows = rows.select("key", "language", "pos", "token", "class", "step", "depth", "last", F.when(F.col("before").isNull() | (F.col("before") == "EOL"), F.coalesce("wide", F.lit(0))).alias("indent"), pair.alias("ill"))
+
+    # By levels: a bracket stands on the level around it; a copy of it begins or ends the group of what it holds.
+    edge = F.explode(F.when(F.col("step") != 0, F.array(F.lit(0), F.col("step"))).otherwise(F.array(F.lit(0)))).alias("edge")
+    outer = F.col("depth") - F.greatest("step", F.lit(0))
+    rows = rows.select("*", edge).withColumn("level", F.when(F.col("edge") == 0, outer).otherwise(outer + 1))
+    along = Window.partitionBy("key", "level").orderBy("pos")
+    here = F.col("edge") == 0
+    bracket = F.last(F.when(here & (F.col("step") != 0), token), True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rule = lambda make: _by_language(language, lambda g: F.lit(make(g)))
+    chance = F.when(here & ((token == "if") | ((token == "let") & (language == "rust"))), 1).when(here & (F.col("class") == "O") & (language != "python"), -1).otherwise(0)
+    rows = rows.withColumns({"bracket": bracket, "chances": F.sum(chance).over(along), "parts": F.sum(F.when(here & (token == ";"), 1).otherwise(0)).over(along)})
+    start = F.when(F.col("edge") == 1, F.struct("chances", "parts", F.when(token == "(", F.when(F.col("last") == "for", "for").when(F.coalesce(F.col("last") != "!", F.lit(True)), "plain")).alias("kind")))
+    rows = rows.withColumn("group", F.last(start, True).over(along))
+    held = F.col("parts") - F.coalesce(F.col("group.parts"), F.lit(0))
+    kind = F.col("group.kind")
+    partner = F.when(token == ")", "(").when(token == "]", "[").otherwise("{")
+    nested = here & (F.col("step") < 0) & ~F.coalesce(F.col("bracket") == partner, F.lit(False)) | (F.col("depth") < 0) | ((F.col("class") == "EOF") & (F.col("depth") != 0))
+    lost = here & (F.col("class") == "O") & (F.col("chances") - F.coalesce(F.col("group.chances"), F.lit(0)) < 0) & (language != "python")
+    needs = reduce(lambda c, g: c | ((language == g.name) & ~held.isin(*g.loop_parts)), [g for g in GRAMMARS.values() if g.loop_parts], F.lit(False))
+    parted = (F.col("edge") == -1) & (kind == "for") & needs | here & (token == ";") & (kind == "plain") & ~rule(lambda g: g.parts_elsewhere)
+    rows = rows.withColumn("ill", F.col("ill") | F.coalesce(nested | lost | parted, F.lit(False)))
+    symbol = F.when(token.isin(*_OPEN), F.concat(token, F.translate(token, "([{", ")]}"))).when(F.col("class").isin("I", "V") | ((language == "c") & (F.col("class") == "Q")), "I").when(F.col("class").isin("N", "S", "T", "EOL"), F.col("class")).otherwise(token)
+    top = here & (F.col("level") == 0) & (F.col("step") >= 0) & ~F.col("class").isin("EOF", "D")
+    return rows.filter(F.col("ill") | top).select("key", "language", "pos", "class", symbol.alias("symbol"), "indent", "ill")
+
+
+def _statements(rows: DataFrame) -> DataFrame:
+    """(key, language, n, symbols, indent): top-level statements, of Python all logical lines, from the symbols of depth 0.
+
+    A symbol is a token, or a bracket and what it holds. Statements end at
     terminators that depend on the symbols next to them; their number is a running count.
     """
     order = Window.partitionBy("key", "language").orderBy("pos")
-    rows = tokens.withColumns({"depth": F.sum("step").over(order), "back": F.lag("class").over(order), "blank": F.lag("token").over(order)})
-    outer = F.col("depth") - F.greatest("step", F.lit(0))
-    rows = rows.withColumn("starts", F.col("back").isNull() | (F.col("back") == "EOL")).filter((outer == 0) & (F.col("step") >= 0) & ~F.col("class").isin("EOF", "D"))
-    token, cls, language = F.col("token"), F.col("class"), F.col("language")
-    symbol = F.when(token.isin(*_OPEN), F.concat(token, F.translate(token, "([{", ")]}"))).when(cls.isin("I", "V"), "I").when(cls.isin("N", "S", "T"), cls).otherwise(token)
-    mark = F.when(cls == "EOL", "EOL").otherwise(symbol)
-    rows = rows.select("key", "language", "pos", cls.alias("class"), mark.alias("symbol"), F.when(F.col("starts"), F.coalesce(F.length(F.replace(F.col("blank"), F.lit("\t"), F.lit("        "))) - 1, F.lit(0))).alias("indent"))
+    language = F.col("language")
     rows = rows.withColumns({"p_class": F.lag("class").over(order), "p_symbol": F.lag("symbol").over(order), "n_class": F.lead("class").over(order), "n_symbol": F.lead("symbol").over(order)})
     here, before, after = F.col("symbol"), F.col("p_symbol"), F.col("n_symbol")
     carried = lambda g, c: F.coalesce(F.col(c).isin(*g.carries.split()), F.lit(False))
@@ -169,6 +195,12 @@ def _ill_stated(statements: DataFrame) -> DataFrame:
     def good(g: Grammar) -> Column:
         chain = reduce(lambda c, k: c.when(F.col("head") == k, symbols.rlike(f"^(?:{g.productions[k]})$")), list(g.productions)[1:], F.when(F.col("head") == next(iter(g.productions)), symbols.rlike(f"^(?:{next(iter(g.productions.values()))})$")))
         whole = chain.otherwise(symbols.rlike(f"^(?:{g.default})$"))
+        if g.name == "python":
+            # All that stands before the last "=" is assigned to, up to an annotation; a lambda's arguments have defaults.
+            targets = F.substring_index(F.substring(symbols, F.lit(1), F.greatest(F.length(symbols) - F.length(F.substring_index(symbols, " = ", -1)) - 3, F.lit(0))), " : ", 1)
+            assigned = F.contains(symbols, F.lit(" = ")) & ~F.contains(symbols, F.lit("lambda ")) & ~F.col("head").isin(*g.productions)
+            odd = F.contains(symbols, F.lit(" = lambda ")) & F.substring_index(symbols, " lambda ", 1).rlike(r"(?:^|= )[NS] =$| [-+*/%|&^] [INST]+ =$")
+            whole = whole & ~(assigned & targets.rlike(NO_TARGET)) & ~odd
         if g.name == "rust":  # attributes of the whole file may stand alone
             whole = whole | ((symbols == "") & F.col("symbols").rlike(r"^(?:# ! \[\] ?)++$"))
         if g.first:
@@ -216,17 +248,17 @@ def invalid_files(docs: DataFrame, rules: DataFrame, **columns: str) -> DataFram
     match, a statement that is none of its productions, or Python blocks that don't fit their
     indentation. An empty or blank text is valid, a null one neither (valid is null). Exact copies are examined once.
     """
-    files = source_files(docs, rules, **columns).filter(F.col("language").isin(*GRAMMARS)).withColumn("key", F.md5("text"))
-    texts = files.filter("length(text) > 0").groupBy("key", "language").agg(F.min("text").alias("text"))
-    texts = materialize(texts)
-    # One exchange by file: all windows below keep this partitioning.
-    apart = texts.repartition("key", "language")
-    tokens = _tokens(apart)
-    bad = materialize(_ill_paired(tokens).unionByName(_ill_nested(tokens)).distinct())
-    rest = _tokens(texts.join(bad, ["key", "language"], "left_anti").repartition("key", "language"))
+    files = source_files(docs, rules, **columns).filter(F.col("language").isin(*GRAMMARS)).withColumn("md5", F.md5("text"))
+    texts = files.filter("length(text) > 0").groupBy("md5", "language").agg(F.min("text").alias("text"))
+    texts = materialize(texts.withColumn("key", F.monotonically_increasing_id()))
+    # One exchange by file: all windows below keep this partitioning, and every text is lexed once.
+    judged = materialize(_judged(_tokens(texts.select("key", "language", "text").repartition("key"))))
+    bad = materialize(judged.filter("ill").select("key").distinct())
+    rest = judged.join(broadcast_if_small(bad), "key", "left_anti")
     statements = materialize(_statements(rest))
-    bad = bad.unionByName(_ill_stated(statements)).unionByName(_ill_indented(statements)).distinct().withColumn("bad", F.lit(True))
-    return files.join(bad, ["key", "language"], "left").select("id", "repo", "language", F.when(F.col("text").isNotNull(), F.col("bad").isNull()).alias("valid"))
+    bad = bad.unionByName(_ill_stated(statements).select("key")).unionByName(_ill_indented(statements).select("key")).distinct()
+    bad = texts.select("key", "md5", "language").join(broadcast_if_small(bad), "key", "left_semi").select("md5", "language", F.lit(True).alias("bad"))
+    return files.join(bad, ["md5", "language"], "left").select("id", "repo", "language", F.when(F.col("text").isNotNull(), F.col("bad").isNull()).alias("valid"))
 
 
 def invalid_rates(checked: DataFrame) -> DataFrame:

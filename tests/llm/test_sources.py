@@ -228,12 +228,21 @@ def test_faults_inside_blocks(spark):
         ("a.c", "int f(void) { int x = 5 return x; }\n"), ("b.c", "int f(void) { if }\n"), ("c.c", "int f(int a) {\n  please keep these words here\n  if (a) return 1;\n}\n"),
         ("d.go", go.format("\tx := 5 return x")), ("e.go", go.format("\tif")), ("f.go", go.format("\tplease keep these words")), ("g.js", js.format("let x = 5 return x")), ("h.ts", js.format("let x = y if (x) z()")),
         ("i.cs", cs.format("if")), ("j.cs", cs.format("int x = 5 return;")), ("k.cs", cs.format("int x = y while (x) F();")), ("l.rs", "fn f() { let x = 5 let y = 6; }\n"),
+        ("m.c", "int f(void) { for (;) { } }\n"), ("n.c", "int f(void) { return return 1; }\n"), ("o.c", "int f(void) { else { } }\n"), ("p.js", js.format("else { }")), ("q.go", go.format("\telse { }")), ("r.rs", "fn f() { else { } }\n"),
+        ("s.js", js.format("let if;")), ("t.js", js.format("if")), ("u.ts", js.format("if")), ("v.rs", "fn f() { if }\n"), ("w.cs", cs.format("please keep these words;")), ("x.c", "int f(void) { break x; }\n"), ("y.js", js.format("for (let i = 0; i < 3) {}")),
+        ("z.js", js.format("f(a; b);")), ("aa.rs", "fn f() { let x = g() let y = 1; }\n"), ("ab.c", "int f(void) {\n  please keep these words;\n}\n"), ("ac.go", go.format("\tfor (i = 0; i < 3) { }")), ("ad.js", js.format("if (a) { if (b) c() } else d(); else e()")),
+        ("ae.py", "x = a + a + a = 1 = lambda : + a\n"), ("af.py", "f(x) = 3\n"), ("ag.py", "a + b = c\n"), ("ah.py", "x = 1 = y\n"),
     ]
     good = [
         ("a.c", "typedef unsigned long long int T;\nint f(int a) { LOCK if (a) return 1; else if (a > 2) goto e; do ; while (0);\ne: for (;;) { switch (a) { case 1: default: break; } } }\n"),
         ("b.go", go.format("\tx := 5; if x > 3 { return }\n\tfor {\n\t\tselect {\n\t\tcase <-c: return\n\t\tdefault:\n\t\t}\n\t}\n\tif a { b() } else if c { d() }\n\tdefer func() { go f() }()")),
         ("c.js", js.format("let x = 5; if (x) for (;;) break; else do { x.if = y?.for; } while (x)\nthrow { if: 1, do() {}, for: 2 }")),
         ("d.cs", cs.format("int x = y switch { 1 => 2, _ => throw new E() }; if (x > 1) return; else while (x > 0) lock (y) foreach (var q in z) goto e; e: ;")),
+        ("f.rs", "fn f() -> u8 { let Some(x) = y else { return 1 }; let z = if a { 1 } else if let Some(b) = c { 2 } else { 3 }; return return 1; }\n"),
+        ("g.js", js.format("if (a) if (b) c(); else d(); else e()\nfor (const x of y) z(x)\nfor (;;) break\nconst o = { if: 1, default: 2, return() { return o.else } }")),
+        ("h.c", "static inline ATTR foo_t *f(const unsigned long long int a, void (*b)(int)) { for (int i = 0, j; i < a; i++) if (a) b(1); else { } do { x; } while (a); return (struct s){1, 2}.a; }\n"),
+        ("i.py", "x = y = a + b\nx: int | None = a == b\na, *b = c\nf = g = lambda x=1, *y: x + y\nx[a + b] = f(a=b + c)\n(a) = b\nf(x).y = z\nf(x)[0] = z = -1\nx += a + b\n"),
+        ("j.cs", cs.format("var q = from x in xs where x.A > 1 orderby x.B descending select x; foreach (Foo f in fs) { if (f is Bar b && b.X) yield return b; else yield break; } for (;;) { }")),
         ("e.rs", "fn f() { let x = match y { 1 if a => loop { break 5 }, \"s\" if b => return, _ => while let Some(z) = q {} }; }\n"),
     ]
     got = run(spark, [*bad, *good])
