@@ -123,6 +123,8 @@ def _judged(tokens: DataFrame) -> DataFrame:
     # By levels: a bracket stands on the level around it; a copy of it begins or ends the group of what it holds.
     edge = F.explode(F.when(F.col("step") != 0, F.array(F.lit(0), F.col("step"))).otherwise(F.array(F.lit(0)))).alias("edge")
     outer = F.col("depth") - F.greatest("step", F.lit(0))
+    # Of deeper tokens only brackets, terminators, words of choice and the end count from here on.
+    rows = rows.filter(F.col("ill") | (F.col("step") != 0) | (outer == 0) | (F.col("depth") < 0) | (F.col("class") == "EOF") | F.coalesce(token.isin("if", "let", "else", ";"), F.lit(False)))
     rows = rows.select("*", edge).withColumn("level", F.when(F.col("edge") == 0, outer).otherwise(outer + 1))
     along = Window.partitionBy("key", "level").orderBy("pos")
     here = F.col("edge") == 0
