@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast once its rows were counted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table may be broadcast once they were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_written: list[tuple[SparkSession, str]] = []
+class _Written(threading.local):
+    """The tables that each thread wrote, so that queries that run side by side don't release each other's."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        _all_written.append(self.tables)
+
+
+_all_written: list[list[tuple[SparkSession, str]]] = []
+_written = _Written()
 
 
 def materialize(df: DataFrame, *, partition_files: int | None = None) -> DataFrame:
@@ -47,7 +58,7 @@ def materialize(df: DataFrame, *, partition_files: int | None = None) -> DataFra
     schema = df.schema
     out = df.coalesce(partition_files) if partition_files else df
     out.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _written.tables.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
@@ -66,33 +77,48 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def mark() -> int:
     """A position for ``release``: tables written later than it can be released together."""
-    return len(_written)
+    return len(_written.tables)
 
 
 def release(since: int, keep: DataFrame | None = None) -> None:
     """Delete the tables written since ``mark``, but for those that ``keep`` reads."""
     kept = {f.split("/")[-2] for f in keep.inputFiles()} if keep is not None else set()
     rest = []
-    for spark, path in _written[since:]:
+    for spark, path in _written.tables[since:]:
         if path.rsplit("/", 1)[1] in kept:
             rest.append((spark, path))
         else:
             _delete(spark, path)
-    _written[since:] = rest
+    _written.tables[since:] = rest
 
 
 @atexit.register
 def _cleanup() -> None:
-    for spark, path in _written:
+    for spark, path in [t for tables in _all_written for t in tables]:
         try:
             _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint on ``df`` if it has at most ``rows`` rows; beyond that the plain table.
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: of texts their own, of nested values those of their JSON."""
+    sizes = [F.lit(16)]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary", "char", "varchar"):
+            sizes.append(F.coalesce(F.octet_length(F.collate(c, "UTF8_BINARY") if f.dataType.typeName() == "string" else c), F.lit(0)))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return reduce(lambda a, b: a + b, sizes)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint on ``df`` if it has at most ``rows`` rows of ``size`` bytes together; beyond that the plain table.
 
     The check stops counting one row past the bound.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if found[0] <= rows and found[1] <= size else df
