@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.cel.parser import CelError, Node, names, parse
@@ -125,7 +127,8 @@ class _Compiler:
         if not {a.kind, b.kind} <= {"int", "float"}:
             raise CelError(f"{op} doesn't take {a.kind} and {b.kind}")
         if a.kind != b.kind:
-            a, b = self._float(a), self._float(b)
+            # Whole numbers and floats don't mix: an evaluation error, so an absent value.
+            return Typed(F.lit(None).cast("double"), "float")
         x, y = a.column, b.column
         if a.kind == "int":
             whole = F.when(y != 0, F.try_subtract(x, F.try_mod(x, y)))
@@ -210,9 +213,7 @@ class _Compiler:
     def _matches(self, subject: Typed, pattern: Node) -> Typed:
         if pattern.kind != "lit" or not isinstance(pattern.value, str):
             raise CelError("matches takes a literal pattern")
-        try:
-            re.compile(pattern.value)
-        except re.error:
+        if not _compiles(pattern.value):
             return Typed(F.lit(None).cast("boolean"), "bool")  # a bad pattern never fires
         return Typed(subject.column.rlike(pattern.value), "bool")
 
@@ -265,6 +266,16 @@ class _Compiler:
         return Typed(made, "list", kinds[-1].kind)
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that runs a pattern takes it."""
+    session = SparkSession.getActiveSession()
+    try:
+        session._jvm.java.util.regex.Pattern.compile(pattern) if session else re.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def compile_metric(source: str, scope: Mapping[str, Column], texts: Mapping[str, Column] | None = None, aggregate: Aggregate | None = None) -> Column:
     """A metric formula as a double column: all inputs are floats; null where the formula fails or isn't finite."""
     typed = {k: Typed(v.cast("double"), "float") for k, v in scope.items()} | {k: Typed(v, "text") for k, v in (texts or {}).items()}

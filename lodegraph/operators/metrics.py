@@ -56,20 +56,35 @@ def population(value: Column, name: str, omit_at: float = 0.0) -> Column:
     return F.coalesce(x, F.lit(float(omit_at))) if name == "all" else F.when(x != omit_at, x)
 
 
-def reduced(value: Column, reducer: str) -> Column:
-    """An aggregate of doubles: sum avg mean min max count median p<q>; null for none and for an unknown name.
+def percentile_of(reducer: str) -> float | None:
+    """The percentage of median or p<q>; None for any other reducer."""
+    q = 50.0 if reducer == "median" else float(m[1]) if (m := re.fullmatch(r"p(\d+(?:\.\d+)?)", reducer)) else None
+    return None if q is None or q > 100 else q
 
-    Percentiles interpolate linearly; they are exact and combine before the shuffle.
-    """
+
+def reduced(value: Column, reducer: str) -> Column:
+    """An aggregate of doubles: sum avg mean min max count; null for none and for an unknown name."""
     plain = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max}
     if reducer in plain:
         return plain[reducer](value)
-    if reducer == "count":
-        return F.nullif(F.count(value), F.lit(0)).cast("double")
-    q = 50.0 if reducer == "median" else float(m[1]) if (m := re.fullmatch(r"p(\d+(?:\.\d+)?)", reducer)) else None
-    if q is None or q > 100:
-        return F.max(F.lit(None).cast("double"))
-    return F.percentile(value, F.lit(q / 100))
+    return F.nullif(F.count(value), F.lit(0)).cast("double") if reducer == "count" else F.max(F.lit(None).cast("double"))
+
+
+def percentiles(values: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(by, name…): exact percentiles of ``value``, interpolated from the lower neighbour: a + (h - floor(h)) * (b - a), h = (n - 1) * q / 100.
+
+    Equal values are counted before the shuffle; a group's window sees its different values only.
+    """
+    counts = values.filter("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_n"))
+    keys = Window.partitionBy(*by)
+    rows = counts.withColumns({"_upto": F.sum("_n").over(keys.orderBy("value")), "_all": F.sum("_n").over(keys.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    ends, out = [], []
+    for i, (name, q) in enumerate(wanted.items()):
+        place = (F.col("_all") - 1) * F.lit(q / 100.0)
+        for side, at in (("a", F.floor(place)), ("b", F.least(F.floor(place) + 1, F.col("_all") - 1))):
+            ends.append(F.max(F.when((F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto")), F.col("value"))).alias(f"_{side}{i}"))
+        out.append((F.col(f"_a{i}") + (place - F.floor(place)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(name))
+    return rows.groupBy(*by).agg(F.max("_all").alias("_all"), *ends).select(*by, *out)
 
 
 def aggregate(df: DataFrame, by: list[str], metric: str, reducer: str, name: str = "not_empty", omit_at: float = 0.0) -> DataFrame:
@@ -82,17 +97,26 @@ def aggregate(df: DataFrame, by: list[str], metric: str, reducer: str, name: str
         order = Window.partitionBy(*by).orderBy(F.desc("value")) if by else Window.orderBy(F.desc("value"))
         values = values.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= int(m[1])).drop("_rank")
         return aggregate(values, by, "value", m[2] or "avg", "all") if int(m[1]) else values.groupBy(*by).agg(F.max(F.lit(None).cast("double")).alias("value"))
+    if (q := percentile_of(reducer)) is not None:
+        return percentiles(values, by, {"value": q})
     return values.groupBy(*by).agg(reduced(F.col("value"), reducer).alias("value"))
 
 
 def aggregates(df: DataFrame, by: list[str], wanted: Iterable[tuple[str, str, str]], omit_at: dict[str, float] | None = None) -> tuple[DataFrame, dict[tuple[str, str, str], str]]:
-    """One row per graph with every (metric, reducer, population) once, in one pass; and the columns' names."""
+    """One row per graph with every (metric, reducer, population) once; and the columns' names.
+
+    One pass serves all plain reducers, one more the percentiles of each metric and population.
+    """
     names = {w: f"_agg{i}" for i, w in enumerate(dict.fromkeys(wanted))}
-    plain = [reduced(population(F.col(m), p, (omit_at or {}).get(m, 0.0)), r).alias(n) for (m, r, p), n in names.items() if not r.startswith("top")]
+    value = lambda m, p: population(F.col(m), p, (omit_at or {}).get(m, 0.0))
+    special = {w for w in names if w[1].startswith("top") or percentile_of(w[1]) is not None}
+    plain = [reduced(value(m, p), r).alias(n) for (m, r, p), n in names.items() if (m, r, p) not in special]
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *plain).drop("_n")
-    for (m, r, p), n in names.items():
-        if r.startswith("top"):
-            out = out.join(aggregate(df, by, m, r, p, (omit_at or {}).get(m, 0.0)).withColumnRenamed("value", n), by, "left")
+    parts = [aggregate(df, by, m, r, p, (omit_at or {}).get(m, 0.0)).withColumnRenamed("value", n) for (m, r, p), n in names.items() if r.startswith("top")]
+    for m, p in dict.fromkeys((m, p) for m, r, p in names if percentile_of(r) is not None):
+        parts.append(percentiles(df.select(*by, value(m, p).alias("value")), by, {n: percentile_of(r) for (x, r, y), n in names.items() if (x, y) == (m, p) and percentile_of(r) is not None}))
+    for part in parts:
+        out = out.join(part, by, "left") if by else out.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     return out, names
 
 

@@ -152,8 +152,8 @@ def check_hits(df: DataFrame, edges: DataFrame, by: list[str], checks: list[Chec
             bad.append((check, str(e)))
             continue
         value = lambda k: scope[k].column if k in scope and scope[k].kind in ("text", "int", "float", "bool") else None
-        text = interpolate(check.message, value, lambda k: scope[k].kind in ("int", "float"))
-        fired.append(F.when(test, F.struct(F.lit(f"check.{check.id}").alias("rule"), F.lit(check.group).alias("rule_group"), text.alias("message"), F.lit(check.why).cast("string").alias("why"), F.lit(check.fix).cast("string").alias("fix"))))
+        said = lambda t: interpolate(t, value, lambda k: scope[k].kind in ("int", "float")) if t is not None else _null("string")
+        fired.append(F.when(test, F.struct(F.lit(f"check.{check.id}").alias("rule"), F.lit(check.group).alias("rule_group"), said(check.message).alias("message"), said(check.why).alias("why"), said(check.fix).alias("fix"))))
     shape = "struct<" + ", ".join([*(f"`{b}`: {df.schema[b].dataType.simpleString()}" for b in by), "rule: string", "rule_group: string", "location: string", "line: int", "message: string", "weight: double", "why: string", "fix: string"]) + ">"
     broken = [tuple([None] * len(by) + [f"check.{c.id}", c.group, "", None, f"the check can't be compiled: {e}", float("inf"), c.why, c.fix]) for c, e in bad]
     out = df.sparkSession.createDataFrame(broken, shape)

@@ -1,9 +1,9 @@
-"""Reports in several formats. A report's rows are written by Spark; texts are made of rows that a top bound limits."""
+"""Reports in several formats. Rows are written by Spark; a document is one text and holds all findings, unless a top is asked for."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from html import escape
 from typing import Any
@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.rules import sarif_rules
 
-#: Findings in one document unless asked otherwise; all of them are in the table that ``write_findings`` writes.
-DOCUMENT_ROWS = 10_000
-
-
-def findings(violations: DataFrame, top: int = DOCUMENT_ROWS) -> list[Row]:
-    """The heaviest findings, for a document."""
-    return violations.orderBy(F.desc("weight"), "rule", "location", "message").limit(top).collect()
+def findings(violations: DataFrame, top: int | None = None) -> Iterator[Row]:
+    """The findings for a document, heaviest first: all of them unless ``top`` is given, fetched partition by partition."""
+    rows = violations.orderBy(F.desc("weight"), "rule", "location", "message")
+    return (rows if top is None else rows.limit(top)).toLocalIterator()
 
 
 def write_findings(violations: DataFrame, path: str) -> None:
@@ -53,7 +50,7 @@ def _number(weight: float) -> float | None:
     return weight if weight == weight and abs(weight) != float("inf") else None
 
 
-def sarif(violations: DataFrame, tool: str = "lodegraph", top: int = DOCUMENT_ROWS, language: str = "") -> str:
+def sarif(violations: DataFrame, tool: str = "lodegraph", top: int | None = None, language: str = "") -> str:
     """SARIF 2.1.0: each rule once; results with a fingerprint of language, rule and location."""
     rules = [{"id": r["rule"], "properties": {"group": r["rule_group"]}, "fullDescription": {"text": r["why"] or r["rule"]}} for r in sarif_rules(violations).orderBy("rule").collect()]
     place = {r["id"]: i for i, r in enumerate(rules)}
@@ -68,13 +65,13 @@ def sarif(violations: DataFrame, tool: str = "lodegraph", top: int = DOCUMENT_RO
     return canonical_json({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]})
 
 
-def code_quality(violations: DataFrame, top: int = DOCUMENT_ROWS, language: str = "") -> str:
+def code_quality(violations: DataFrame, top: int | None = None, language: str = "") -> str:
     """A list of issues, each of severity major."""
     issues = [{"description": v["message"], "check_name": v["rule"], "fingerprint": f"{language}:{v['rule']}:{v['location']}", "severity": "major", "location": {"path": v["location"], "lines": {"begin": v["line"] or 1}}} for v in findings(violations, top)]
     return canonical_json(issues)
 
 
-def diagnostics(violations: DataFrame, style: str = "human", top: int = DOCUMENT_ROWS) -> str:
+def diagnostics(violations: DataFrame, style: str = "human", top: int | None = None) -> str:
     """human, json, github or prompt."""
     rows = findings(violations, top)
     if style == "json":
@@ -89,7 +86,7 @@ def diagnostics(violations: DataFrame, style: str = "human", top: int = DOCUMENT
 
 def scorecard_text(scorecard: DataFrame, worst: DataFrame, top: int = 15) -> str:
     """Principles by breaches, then the worst modules."""
-    rows = scorecard.orderBy(F.desc("warnings"), F.desc("infos"), "principle").limit(1000).collect()
+    rows = scorecard.orderBy(F.desc("warnings"), F.desc("infos"), "principle").collect()  # one row per principle
     lines = [f"{r['principle']:<16} {r['warnings']:>6} {r['infos']:>6}  {r['top'] or '-'}" for r in rows]
     modules = worst.orderBy("rank", "id").limit(top).collect()
     body = [f"{r['rank']:>3}. {r['id']} ({r['warnings']} warnings, {r['infos']} infos, {r['worst']} {r['ratio']:.1f}×)" for r in modules]

@@ -34,24 +34,26 @@ def _runs(node: ast.BoolOp) -> int:
     return 1 + sum(_runs(v) for v in inner if type(v.op) is not type(node.op))
 
 
-def _cognitive(node: ast.AST, depth: int) -> int:
-    """Breaks of the flow: each costs one more for every level it is nested in; plain alternatives cost one."""
-    cost = 0
-    for child in ast.iter_child_nodes(node):
-        inner = depth
-        if isinstance(child, (ast.If, *_LOOPS, ast.ExceptHandler, ast.IfExp)):
-            chained = isinstance(child, ast.If) and isinstance(node, ast.If) and node.orelse == [child]
-            cost += 1 if chained else depth + 1
-            inner = depth if chained else depth + 1
-            rest = getattr(child, "orelse", None)
-            cost += isinstance(rest, list) and bool(rest) and not (isinstance(child, ast.If) and len(rest) == 1 and isinstance(rest[0], ast.If))
-        elif isinstance(child, ast.Try):
-            cost += bool(child.finalbody)
-        elif isinstance(child, (*_FUNCTIONS, ast.Lambda)):
-            inner = depth + 1 if depth or isinstance(child, ast.Lambda) else 0
-        elif isinstance(child, ast.BoolOp) and not isinstance(node, ast.BoolOp):
-            cost += _runs(child)
-        cost += _cognitive(child, inner)
+def _cognitive(root: ast.AST) -> int:
+    """Breaks of the flow: each costs one more for every level it is nested in; plain alternatives cost one. A stack of its own takes trees of any depth."""
+    cost, todo = 0, [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        for child in ast.iter_child_nodes(node):
+            inner = depth
+            if isinstance(child, (ast.If, *_LOOPS, ast.ExceptHandler, ast.IfExp)):
+                chained = isinstance(child, ast.If) and isinstance(node, ast.If) and node.orelse == [child]
+                cost += 1 if chained else depth + 1
+                inner = depth if chained else depth + 1
+                rest = getattr(child, "orelse", None)
+                cost += isinstance(rest, list) and bool(rest) and not (isinstance(child, ast.If) and len(rest) == 1 and isinstance(rest[0], ast.If))
+            elif isinstance(child, ast.Try):
+                cost += bool(child.finalbody)
+            elif isinstance(child, (*_FUNCTIONS, ast.Lambda)):
+                inner = depth + 1 if depth or isinstance(child, ast.Lambda) else 0
+            elif isinstance(child, ast.BoolOp) and not isinstance(node, ast.BoolOp):
+                cost += _runs(child)
+            todo.append((child, inner))
     return cost
 
 
@@ -92,7 +94,7 @@ def _counts(tree: ast.AST, tokens: list[tokenize.TokenInfo], first: int, last: i
     span = last - first + 1
     only = comments - code
     return {
-        "eta1": len(set(operators)), "eta2": len(set(operands)), "n1": len(operators), "n2": len(operands), **_structure(tree, own_space), "cognitive": _cognitive(tree, 0),
+        "eta1": len(set(operators)), "eta2": len(set(operands)), "n1": len(operators), "n2": len(operands), **_structure(tree, own_space), "cognitive": _cognitive(tree),
         "sloc": len(code), "lloc": sum(isinstance(n, ast.stmt) for n in ast.walk(tree)), "cloc": len(comments), "blank": max(span - len(code) - len(only), 0), "tloc": 0, "span_sloc": span,
     }
 

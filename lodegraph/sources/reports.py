@@ -19,11 +19,20 @@ def embedded(html: Column, which: str = "current") -> Column:
     return F.nullif(F.replace(found, F.lit("<\\/"), F.lit("</")), F.lit(""))
 
 
-def read(spark: SparkSession, path: str, which: str = "current") -> DataFrame:
-    """(snap_id, payload, ingested_at) of report files, .json whole and .html or .htm by their embedded report."""
+def read(spark: SparkSession, path: str, which: str = "current", *, versions: tuple[str, ...] | None = (SCHEMA_VERSION,)) -> DataFrame:
+    """(snap_id, payload, ingested_at, file) of report files, .json whole and .html or .htm by their embedded report.
+
+    A report that names another schema than ``versions`` fails the query with a message that names it; None takes all.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("ingested_at"))
     page = F.lower("file").rlike(r"\.html?$")
-    return files.select(F.xxhash64("file").alias("snap_id"), F.when(page, embedded(F.col("value"), which)).otherwise(F.col("value")).alias("payload"), "ingested_at", "file")
+    rows = files.select(F.xxhash64("file").alias("snap_id"), F.when(page, embedded(F.col("value"), which)).otherwise(F.col("value")).alias("payload"), "ingested_at", "file")
+    if versions is None:
+        return rows
+    found = F.get_json_object("payload", "$.schema_version")
+    known = found.isNull() | found.isin(*versions)
+    wrong = F.raise_error(F.concat(F.col("file"), F.lit(": report of schema "), found, F.lit(f", expected {' or '.join(versions)}"))).cast("string")
+    return rows.withColumn("payload", F.when(known, F.col("payload")).otherwise(wrong))
 
 
 def check_version(payload: str) -> dict:
