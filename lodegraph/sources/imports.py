@@ -1,13 +1,17 @@
 """Import edges of source files: each language's statements, resolved against the files of the repository.
 
 All extractors take files (by, path, text) and give edges (by, source, target, kind, line); a
-target outside is ``ext:<name>``. Statements are found by patterns on lines without comments.
+target outside is ``ext:<name>``. Python is read by its syntax trees, scripts by their tokens, the others by patterns on lines.
 """
 
 from __future__ import annotations
 
+import ast
+import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +40,42 @@ def _edges(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.filter("path <> target").groupBy(*by, F.col("path").alias("source"), "target").agg(F.min("line").alias("line")).select(*by, "source", "target", F.lit("uses").alias("kind"), "line")
 
 
+def python_statements(text: str | None) -> list[tuple[int, str, str, int]]:
+    """(line, module, name, dots) of every import of a text, from its syntax tree; of a text that doesn't parse, from its lines."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        found = []
+        for at, line in enumerate((text or "").split("\n"), 1):
+            if m := re.match(r"\s*from\s+(\.*)([\w.]*)\s+import\s+\(?([^#()]*)", line):
+                found += [(at, m[2], n, len(m[1])) for n in re.findall(r"(?:^|,)\s*(\w+|\*)", m[3])]
+            elif m := re.match(r"\s*import\s+([^#]+)", line):
+                found += [(at, n, "", 0) for n in re.findall(r"(?:^|,)\s*([\w.]+)", m[1])]
+        return found
+    found = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            found += [(node.lineno, a.name, "", 0) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            found += [(node.lineno, node.module or "", a.name, node.level) for a in node.names]
+    return found
+
+
+def _statements(files: DataFrame, by: list[str], find: Callable[[str | None], list[tuple]], shape: str) -> DataFrame:
+    """(by, path, fields of ``shape``): a row for each statement that ``find`` gives for a text, in Arrow batches."""
+
+    @F.pandas_udf(f"array<struct<{shape}>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(names, row, strict=True)) for row in find(t)])
+
+    names = [f.strip().split(":")[0] for f in shape.split(",")]
+    return files.select(*by, "path", F.inline(found(F.col("text"))))
+
+
 def python_imports(files: DataFrame, by: list[str]) -> DataFrame:
     """``import a.b`` and ``from .a import b, c``: a named submodule before the module itself; what is unknown is external by its first name, relative ones never are."""
-    rows = _lines(files, by)
-    plain = rows.select(*by, "path", "line", F.explode(F.split(F.regexp_extract("code", r"^\s*import\s+([^#]+)", 1), ",")).alias("item")).withColumn("item", F.regexp_extract("item", r"^\s*([\w.]+)", 1)).filter("item <> ''").select(*by, "path", "line", F.col("item").alias("base"), F.lit("").alias("name"), F.lit(0).alias("dots"))
-    pattern = r"^\s*from\s+(\.*)([\w.]*)\s+import\s+\(?([^#()]*)"
-    some = rows.filter(F.col("code").rlike(pattern)).select(*by, "path", "line", F.regexp_extract("code", pattern, 2).alias("base"), F.length(F.regexp_extract("code", pattern, 1)).alias("dots"), F.explode(F.split(F.regexp_extract("code", pattern, 3), ",")).alias("name"))
-    some = some.withColumn("name", F.regexp_extract("name", r"^\s*(\w+)", 1)).select(plain.columns)
-    rows = plain.unionByName(some)
+    rows = _statements(files, by, python_statements, "line:int,base:string,name:string,dots:int")
+    rows = rows.withColumn("name", F.when(F.col("name") == "*", "").otherwise(F.col("name")))
     folder = F.split(parts(F.col("path"))["dir"], "/")
     above = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - F.col("dots") + 1, F.lit(0))), ".")
     base = F.when(F.col("dots") == 0, F.col("base")).otherwise(F.concat_ws(".", F.nullif(above, F.lit("")), F.nullif("base", F.lit(""))))
@@ -56,15 +88,36 @@ def python_imports(files: DataFrame, by: list[str]) -> DataFrame:
     return _edges(found.withColumn("target", F.coalesce("file", outer)).filter("target is not null"), by)
 
 
+_SCRIPT = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|`(?:[^`\\]|\\.)*`|(?P<word>\b(?:from|import|require)\b)|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<sign>[^\s\w])|\w+""")
+
+
+def script_specifiers(text: str | None) -> list[tuple[int, str]]:
+    """(line, specifier) of every import, export-from and require of a script, from its tokens: no comment or text counts."""
+    found, last, start = [], ["", "", ""], 0
+    for m in _SCRIPT.finditer(text or ""):
+        token = m[0]
+        if token.startswith(("//", "/*")):
+            continue
+        if m["word"] and last[-1] != ".":
+            start = m.start() if token != "from" else start
+        elif token in ("export",):
+            start = m.start()
+        if m["text"]:
+            if last[-1] in ("from", "import") and last[-2] != ".":
+                found.append((text.count("\n", 0, start) + 1, token[1:-1]))
+            elif last[-1] == "(" and last[-2] in ("require", "import") and last[-3] != ".":
+                found.append((text.count("\n", 0, start) + 1, token[1:-1]))
+        last = [*last[-2:], token]
+    return list(dict.fromkeys(found))
+
+
 #: Endings tried in turn for a script's relative import.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.mjs")
 
 
 def script_imports(files: DataFrame, by: list[str]) -> DataFrame:
     """``import … from``, ``export … from``, ``require`` and ``import()``: relative ones by their endings in turn, others by package name, with its scope."""
-    rows = _lines(files, by).filter(~F.col("code").rlike(r"^\s*(?://|\*)"))
-    found = F.concat(*[F.regexp_extract_all("code", F.lit(p), F.lit(1)) for p in (r"(?:\bfrom|^\s*import)\s*[\"']([^\"']+)[\"']", r"\b(?:require|import)\s*\(\s*[\"']([^\"']+)[\"']")])
-    rows = rows.select(*by, "path", "line", F.explode(F.array_distinct(found)).alias("spec"))
+    rows = _statements(files, by, script_specifiers, "line:int,spec:string")
     near = rows.filter(F.startswith("spec", F.lit("."))).withColumn("far", normalized(F.concat(parts(F.col("path"))["dir"], F.lit("/"), "spec")))
     one = [*by, "path", "line", "far"]
     options = near.select(*one, F.posexplode(F.array(*[F.concat("far", F.lit(e)) for e in SCRIPT_ENDINGS])).alias("rank", "candidate"))
@@ -75,15 +128,32 @@ def script_imports(files: DataFrame, by: list[str]) -> DataFrame:
     return _edges(inner.unionByName(outer), by)
 
 
-def go_imports(files: DataFrame, by: list[str], module: str) -> DataFrame:
-    """Imports of a Go module: one edge to every file of an inner package, else to the external path."""
-    rows = _lines(files, by)
+def go_modules(files: DataFrame, by: list[str]) -> DataFrame:
+    """(by, root, module): the module named by each go.mod, with its folder."""
+    named = files.filter(F.col("path").rlike(r"(?:^|/)go\.mod$")).select(*by, parts(F.col("path"))["dir"].alias("root"), F.regexp_extract("text", r"(?m)^\s*module\s+\"?([^\s\"]+)", 1).alias("module"))
+    return named.filter("module <> ''")
+
+
+def go_imports(files: DataFrame, by: list[str], module: str | None = None) -> DataFrame:
+    """Imports of Go files: one edge to every file of an inner package, else to the external path.
+
+    A package is inner if its path begins with a module: the one given, else those of the go.mod files, the longest first.
+    """
+    rows = _lines(files.filter(F.endswith("path", F.lit(".go"))), by)
     spec = F.coalesce(F.nullif(F.regexp_extract("code", r'^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("code", r'^\s+(?:[\w.]+\s+)?"([\w.\-/]+)"\s*$', 1), F.lit("")))
     rows = rows.select(*by, "path", "line", spec.alias("spec")).filter("spec is not null")
-    inner = F.when(F.col("spec") == module, "").when(F.startswith("spec", F.lit(module + "/")), F.substring("spec", len(module) + 2, 1 << 30))
-    packages = files.filter(~F.endswith("path", F.lit("_test.go"))).select(*by, parts(F.col("path"))["dir"].alias("package"), F.col("path").alias("file"))
-    near = rows.withColumn("package", inner).filter("package is not null").join(packages, [*by, "package"]).select(*by, "path", "line", F.col("file").alias("target"))
-    far = rows.filter(inner.isNull()).select(*by, "path", "line", F.concat(F.lit("ext:"), "spec").alias("target"))
+    if module is None:
+        # A repository holds few modules.
+        own = go_modules(files, by)
+        inner = F.startswith(F.concat("spec", F.lit("/")), F.concat("module", F.lit("/")))
+        hits = rows.select(*by, "spec").distinct().join(own, by).filter(inner).groupBy(*by, "spec").agg(F.max_by(F.struct("root", "module"), F.length("module")).alias("m"))
+        rest = F.substring("spec", F.length("m.module") + 2, F.lit(1 << 30))
+        rows = rows.join(hits.select(*by, "spec", F.concat_ws("/", F.nullif("m.root", F.lit("")), F.nullif(rest, F.lit(""))).alias("package")), [*by, "spec"], "left")
+    else:
+        rows = rows.withColumn("package", F.when(F.col("spec") == module, "").when(F.startswith("spec", F.lit(module + "/")), F.substring("spec", len(module) + 2, 1 << 30)))
+    packages = files.filter(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(*by, parts(F.col("path"))["dir"].alias("package"), F.col("path").alias("file"))
+    near = rows.filter("package is not null").join(packages, [*by, "package"]).select(*by, "path", "line", F.col("file").alias("target"))
+    far = rows.filter("package is null").select(*by, "path", "line", F.concat(F.lit("ext:"), "spec").alias("target"))
     return _edges(near.unionByName(far), by)
 
 
@@ -109,6 +179,32 @@ def csharp_usings(files: DataFrame, by: list[str]) -> DataFrame:
     return _edges(found.withColumn("target", F.coalesce("file", F.concat(F.lit("ext:"), "space"))), by)
 
 
+def use_paths(tree: str) -> list[str]:
+    """The paths of a use tree without blanks, with groups in braces spread at any depth."""
+    out, prefixes, piece = [], [""], ""
+    for c in tree:
+        if c == "{":
+            prefixes.append(prefixes[-1] + piece)
+            piece = ""
+        elif c in ",}":
+            if piece:
+                out.append(prefixes[-1] + piece)
+            piece = ""
+            if c == "}" and len(prefixes) > 1:
+                prefixes.pop()
+        else:
+            piece += c
+    return [p for p in [*out, *([prefixes[-1] + piece] if piece else [])] if p != "*"]
+
+
+def _spread(tree: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def spread(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: use_paths(t) if t is not None else [])
+
+    return spread(tree)
+
+
 def rust_uses(files: DataFrame, by: list[str]) -> DataFrame:
     """``use`` and ``mod``: paths of the crate lead to the deepest module file along them, others to the external crate.
 
@@ -117,11 +213,7 @@ def rust_uses(files: DataFrame, by: list[str]) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"//[^\n]*", "")
     uses = files.select(*by, "path", F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^\s*((?:pub(?:\([^)]*\))?\s+)?use\s+[^;]+);"), F.lit(1))).alias("stmt"))
     uses = uses.withColumn("public", F.col("stmt").rlike(r"^pub")).withColumn("tree", F.regexp_replace(F.regexp_replace("stmt", r"^(?:pub(?:\([^)]*\))?\s+)?use\s+", ""), r"\s+as\s+\w+|\s", ""))
-    # One level of braces at a time, from the outside; deeper ones are spread by the loop.
-    for _ in range(4):
-        head, inner = F.regexp_extract("tree", r"^([^{]*)\{", 1), F.regexp_extract("tree", r"^[^{]*\{(.*)\}$", 1)
-        items = F.filter(F.split(inner, r",(?![^{]*\})"), lambda x: x != "")
-        uses = uses.withColumn("tree", F.explode(F.when(F.col("tree").rlike(r"^[^{]*\{.*\}$"), F.transform(items, lambda x: F.concat(head, x))).otherwise(F.array("tree"))))
+    uses = uses.withColumn("tree", F.explode(_spread(F.col("tree"))))
     bare = F.regexp_replace("path", r"(?:/mod|/lib|/main)?\.rs$", "")
     own = F.regexp_replace(F.regexp_replace(bare, r"^(.*/)?src(?:/|$)", ""), "/", "::")
     crate = F.regexp_extract("path", r"^(.*?)(?:^|/)?src/", 1)
@@ -145,11 +237,11 @@ def rust_uses(files: DataFrame, by: list[str]) -> DataFrame:
     return inner.unionByName(outer).filter("source <> target").distinct().withColumn("line", F.lit(None).cast("int"))
 
 
-def extract_all(files: DataFrame, by: list[str], *, go_module: str = "") -> DataFrame:
+def extract_all(files: DataFrame, by: list[str], *, go_module: str | None = None) -> DataFrame:
     """Edges of all languages by the files' extensions."""
     ending = lambda *e: files.filter(F.lower("path").rlike(rf"\.(?:{'|'.join(e)})$"))
     parts_ = [
-        python_imports(ending("py"), by), script_imports(ending("[cm]?js", "jsx", "[cm]?ts", "tsx"), by), go_imports(ending("go"), by, go_module),
+        python_imports(ending("py"), by), script_imports(ending("[cm]?js", "jsx", "[cm]?ts", "tsx"), by), go_imports(files.filter(F.lower("path").rlike(r"(?:\.go|(?:^|/)go\.mod)$")), by, go_module),
         c_includes(ending("c", "h", "cc", "cpp", "hpp"), by), csharp_usings(ending("cs"), by), rust_uses(ending("rs"), by),
     ]
     return reduce(DataFrame.unionByName, parts_)

@@ -34,6 +34,16 @@ def test_script_go_c_csharp_imports(spark):
     assert edges(imports.csharp_usings(t, ["g"])) == {("a.cs", "ext:System", "uses", 1), ("a.cs", "b.cs", "uses", 2), ("a.cs", "c.cs", "uses", 2), ("c.cs", "a.cs", "uses", 2)}
 
 
+def test_statements_over_lines(spark):
+    assert imports.python_statements("from x import (\n  a,\n  b as c)\ns = 'import no'\nif 1:\n    import d.e, f\n") == [(1, "x", "a", 0), (1, "x", "b", 0), (6, "d.e", "", 0), (6, "f", "", 0)]
+    assert imports.python_statements("import a\nfrom .b import c\n(") == [(1, "a", "", 0), (2, "b", "c", 1)] and imports.python_statements(None) == []
+    script = 'import {\n  a,\n} from "./a";\nconst s = "from \'no\'"; // require("no")\nexport {\n b } from "b"\nx.require("no"); /* import "no" */ const y = await import("lazy"), z = `require("no")`;\n'
+    assert imports.script_specifiers(script) == [(1, "./a"), (5, "b"), (7, "lazy")] and imports.script_specifiers(None) == []
+    assert imports.use_paths("a::{b::{c,d::{e,f::{g,h::{i}}}},self}") == ["a::b::c", "a::b::d::e", "a::b::d::f::g", "a::b::d::f::h::i", "a::self"] and imports.use_paths("*") == []
+    t = spark.createDataFrame([("r", "m/go.mod", "module m.x/y\n\ngo 1.22\n"), ("r", "m/a.go", 'import "m.x/y/util"\nimport "m.x/yz"\n'), ("r", "m/util/b.go", "")], FILES)
+    assert edges(imports.go_imports(t, ["g"])) == {("m/a.go", "m/util/b.go", "uses", 1), ("m/a.go", "ext:m.x/yz", "uses", 2)} == edges(imports.extract_all(t, ["g"]))
+
+
 def test_rust_uses(spark):
     t = spark.createDataFrame([("r", "k/src/lib.rs", "pub use crate::a::Thing;\nuse std::{fmt, io::{self, Read}};\n"), ("r", "k/src/a.rs", "use super::b::{c::X, Y};\nuse crate::*;\n"), ("r", "k/src/b/mod.rs", "use self::c::Z; // use crate::a;\n"), ("r", "k/src/b/c.rs", "")], FILES)
     assert edges(imports.rust_uses(t, ["g"])) == {("k/src/lib.rs", "k/src/a.rs", "reexports", None), ("k/src/lib.rs", "ext:std", "uses", None), ("k/src/a.rs", "k/src/b/c.rs", "uses", None), ("k/src/a.rs", "k/src/b/mod.rs", "uses", None), ("k/src/a.rs", "k/src/lib.rs", "super", None), ("k/src/b/mod.rs", "k/src/b/c.rs", "uses", None)}
