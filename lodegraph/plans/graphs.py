@@ -226,10 +226,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upper_median": lambda s, d: hier.upper_median(measured(s, d), BY, "sloc"),
     "depth_extremes": lambda s, d: hier.depth_extremes(measured(s, d), BY),
     "neighbour_groups": lambda s, d: hier.neighbours(measured(s, d), edges_final(s, d), BY, F.col("path").rlike("^[a-m]")),
-    "facts_join": lambda s, d: table(s, d, "edges").groupBy("repo", "source").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")),
     "disjoint_ids": lambda s, d: graph.shared_ids(nodes_of(s, d).withColumn("language", F.col("repo")), [], "language"),
     "markdown_metrics": lambda s, d: markdown_lines(_docs(s, d)),
-    "extension_owners": lambda s, d: table(s, d, "lang_rules").select("language", F.explode("extensions").alias("ext")).groupBy("ext").agg(F.count_distinct("language").alias("owners")),
     "function_split": lambda s, d: levels.split_functions(nodes_of(s, d))[1].select("repo", "id"),
     "orphan_functions": lambda s, d: levels.with_parent(*_functions(s, d), BY).select("repo", "id"),
     "reachable": lambda s, d: levels.reachable(nodes_of(s, d).filter("kind = 'module'"), graph.flow_edges(edges_final(s, d)), BY),

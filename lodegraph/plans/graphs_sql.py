@@ -184,9 +184,7 @@ ORACLE = {
     "reachable": _BASE + ", w AS (SELECT repo, id FROM n0 WHERE kind = 'module' UNION SELECT w.repo, e.target FROM w JOIN e ON e.repo = w.repo AND e.source = w.id AND e.kind = 'uses') SELECT repo, id FROM w",
     "present_columns": _BASE + "SELECT repo, unnest(['kind', 'external', 'crate', 'visibility', 'items']) AS column, unnest([count(kind), count(external), count(crate), count(visibility), count(items)]) AS rows FROM n0 GROUP BY repo",
     "used_roots": _BASE + "SELECT DISTINCT repo, root FROM (SELECT repo, regexp_extract(id, '^\\{([^}]+)\\}', 1) AS root FROM n0 UNION ALL SELECT repo, 'target' FROM n0) WHERE root <> ''",
-    "facts_join": "SELECT repo, source, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM edges GROUP BY ALL",
     "disjoint_ids": _BASE + "SELECT id FROM n1 WHERE NOT ext GROUP BY id HAVING count(DISTINCT repo) > 1",
-    "extension_owners": "SELECT ext, count(DISTINCT language) AS owners FROM (SELECT language, unnest(extensions) AS ext FROM lang_rules) GROUP BY ext",
     "markdown_metrics": r"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM documents WHERE regexp_matches(lower(path), '\.(md|markdown)$')),
 x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
