@@ -12,7 +12,10 @@ from lodegraph.workspace import broadcast_if_small, materialize
 
 # Letters of Cyrillic and Greek, then hyphens, and what they look like in Latin.
 _CYRILLIC = ("аеорсухіјѕԁԛԝһАВЕКМНОРСТУХІЈЅԚԜҮҺ", "aeopcyxijsdqwhABEKMHOPCTYXIJSQWYh")
-_GREEK = ("ονραυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpauABEZHIKMNOPTYX")
+_RARE = ("ӏӀүѵѴԌԍҽ", "lIyvVGge")
+_GREEK = ("ονραυΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϹϳͿ", "ovpauABEZHIKMNOPTYXcCjJ")
+#: Letters of Cyrillic that look like Greek ones without a Latin form.
+_SHARED = ("ГПФкф", "ΓΠΦκφ")
 _OTHER = ("‐‑", "--")
 #: Accented letters of other scripts whose base looks like a Latin letter, by composition.
 _MARKS = "̈́̀̆̄̃̂̇̊̌"
@@ -39,7 +42,7 @@ def _presentation() -> tuple[str, str, dict[str, str]]:
 def _tables() -> tuple[str, str, dict[str, str]]:
     source, target, ligatures = _presentation()
     pairs = dict(zip(source, target, strict=True))
-    alike = {a: b for s, t in (_CYRILLIC, _GREEK, _OTHER) for a, b in zip(s, t, strict=True)}
+    alike = {a: b for s, t in (_CYRILLIC, _RARE, _GREEK, _SHARED, _OTHER) for a, b in zip(s, t, strict=True)}
     for letter, latin in list(alike.items()):  # a composed letter goes with its base
         for mark in _MARKS:
             a, b = unicodedata.normalize("NFC", letter + mark), unicodedata.normalize("NFC", latin + mark)

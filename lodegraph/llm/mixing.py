@@ -5,40 +5,41 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.operators.latest import trimmed
-from lodegraph.workspace import materialize
+from lodegraph.workspace import broadcast_if_small, materialize
 
 #: Sources that may be mixed; their rates are a small table of the driver.
 MAX_SOURCES = 100_000
 
 
 def default_vocabulary() -> str:
-    """The path of a public byte-level vocabulary (base64 token and rank per line)."""
+    """The path of a public byte-level vocabulary (base64 token and rank per line), from the module public_tokenizers beside the vocabulary files; without it name a file."""
     import public_tokenizers
 
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def token_counter(vocabulary: str, pattern: str | None = None):  # noqa: ANN201
-    """A pandas UDF that counts the tokens of whole texts; a null text has none."""
+def token_counter(spark: SparkSession, vocabulary: str, pattern: str | None = None):  # noqa: ANN201
+    """A pandas UDF that counts the tokens of whole texts; a null text has none. The vocabulary is read here and sent to the executors."""
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    shared = spark.sparkContext.broadcast((Path(vocabulary).read_bytes(), pattern))
 
     @F.pandas_udf("bigint")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        split = pattern
-        if split is None:
-            import public_tokenizers
-
-            split = public_tokenizers.PATTERN
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        lines, split = shared.value
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens={})
         for texts in parts:
             yield texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0).astype("int64")
@@ -52,13 +53,16 @@ def clean_source(source: Column) -> Column:
 
 
 def capped_mean(mean: float, cap: int) -> float:
-    """The mean of min(X, cap) for a Poisson X."""
-    term, total, left = math.exp(-mean), 0.0, 1.0
+    """The mean of min(X, cap) for a Poisson X. Terms are logarithms, so that none is lost for a large mean."""
+    if mean <= 0:
+        return 0.0
+    log_term, total, below = -mean, 0.0, 0.0
     for k in range(cap):
+        term = math.exp(log_term)
         total += k * term
-        left -= term
-        term *= mean / (k + 1)
-    return total + cap * max(left, 0.0)
+        below += term
+        log_term += math.log(mean) - math.log(k + 1)
+    return total + cap * max(1.0 - below, 0.0)
 
 
 def poisson_mean(rate: float, cap: int) -> float:
@@ -66,7 +70,7 @@ def poisson_mean(rate: float, cap: int) -> float:
     if rate >= cap:
         return math.inf
     low, high = 0.0, 1.0
-    while capped_mean(high, cap) < rate and high < 600:
+    while capped_mean(high, cap) < rate and high < 2.0 * cap + 1000:
         high *= 2
     if capped_mean(high, cap) < rate:
         return math.inf
@@ -101,15 +105,16 @@ def _draws(key: Column, rates: Column, cap: Column, seed: int) -> Column:
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / float(1 << 53)
     steps = F.aggregate(
         F.sequence(F.lit(1), cap),
-        F.struct(F.exp(-rates).alias("term"), F.exp(-rates).alias("upto"), F.lit(0).alias("n")),
+        # Logarithms of the terms: the first of a large mean is below the least double.
+        F.struct((-rates).alias("term"), F.exp(-rates).alias("upto"), F.lit(0).alias("n")),
         lambda a, k: F.struct(
-            (a["term"] * rates / k).alias("term"),
-            (a["upto"] + a["term"] * rates / k).alias("upto"),
+            (a["term"] + F.ln(rates) - F.ln(k.cast("double"))).alias("term"),
+            (a["upto"] + F.exp(a["term"] + F.ln(rates) - F.ln(k.cast("double")))).alias("upto"),
             (a["n"] + F.when(uniform > a["upto"], 1).otherwise(0)).alias("n"),
         ),
         lambda a: a["n"],
     )
-    return F.when(rates == float("inf"), cap).when(cap > 0, steps).otherwise(0)
+    return F.when(rates == float("inf"), cap).when((cap > 0) & (rates > 0), steps).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, vocabulary: str | None = None, pattern: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -122,18 +127,19 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text
     share. Source names are compared cleaned; documents with a null or unknown source are never
     taken. Empty texts have no tokens but are drawn like the others. Columns of targets: source, target_share, max_repeats.
     """
-    count = token_counter(vocabulary or default_vocabulary(), pattern)
+    spark = docs.sparkSession
+    count = token_counter(spark, vocabulary or default_vocabulary(), pattern)
     goal = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().limit(MAX_SOURCES + 1).collect()]
     if len(goal) > MAX_SOURCES:
         raise ValueError("too many sources")
     rows = docs.select(F.col(id).alias("id"), clean_source(F.col(source)).alias("source"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("source").isin([s for s, _, _ in goal])) if len(goal) < 1000 else rows.filter("source is not null")
+    wanted = spark.createDataFrame([(s,) for s in dict.fromkeys(g[0] for g in goal)], "source string")
+    rows = rows.join(broadcast_if_small(wanted), "source", "left_semi")
     rows = materialize(rows.withColumn("n_tokens", count("text")))
-    sizes = {r[0]: int(r[1]) for r in rows.groupBy("source").agg(F.sum("n_tokens")).limit(MAX_SOURCES).collect()}
-    plan = docs.sparkSession.createDataFrame(plan_rates(sizes, goal, total_tokens), "source string, target_share double, max_repeats int, rate double, mean double") if goal else None
-    if plan is None:
-        plan = docs.sparkSession.createDataFrame([], "source string, target_share double, max_repeats int, rate double, mean double")
-    drawn = rows.join(F.broadcast(plan), "source").withColumn("times", _draws(F.col("id"), F.col("mean"), F.col("max_repeats"), seed).cast("int"))
+    # No more sources than targets, whose number was checked.
+    sizes = {r[0]: int(r[1]) for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
+    plan = spark.createDataFrame(plan_rates(sizes, goal, total_tokens), "source string, target_share double, max_repeats int, rate double, mean double")
+    drawn = rows.join(broadcast_if_small(plan), "source").withColumn("times", _draws(F.col("id"), F.col("mean"), F.col("max_repeats"), seed).cast("int"))
     taken = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("times").alias("copies"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens_taken"))
     report = plan.join(taken, "source", "left").na.fill(0, ["documents", "tokens", "copies", "tokens_taken"])
     # The report has one row per target source.

@@ -110,7 +110,7 @@ def test_leaks_of_nothing(spark):
     assert leaks(spark, [], [(7, "a b")]) == set() == leaks(spark, [(1, "a b")], [])
 
 
-ALIKE = [("paper", "рареr"), ("café", "cafe\u0301"), ("A B", "Ａ\u00a0Ｂ"), ("ab", "a\u200bb"), ("find", "ﬁnd"), ("x-y", "x\u2011y"), ("TOP", "ΤΟΡ"), ("й", "и\u0306")]
+ALIKE = [("paper", "рареr"), ("café", "cafe\u0301"), ("A B", "Ａ\u00a0Ｂ"), ("ab", "a\u200bb"), ("find", "ﬁnd"), ("x-y", "x\u2011y"), ("TOP", "ΤΟΡ"), ("й", "и\u0306"), ("clove", "сӏоѵе"), ("ГПФ", "ΓΠΦ"), ("jC", "ϳϹ")]
 UNLIKE = [("paper", "Paper"), ("cafe", "café"), ("Maße", "Masse"), ("aA", "Aa"), ("a b", "ab"), ("l", "1"), ("o", "ö"), ("и", "u"), ("rn", "m"), ("a\nb", "a b")]
 
 
@@ -150,6 +150,16 @@ def test_poisson_means():
     for rate, cap in ((0.01, 1), (0.5, 1), (0.99, 1), (1.9, 2), (3.0, 5)):
         assert math.isclose(capped_mean(poisson_mean(rate, cap), cap), rate, rel_tol=1e-9)
     assert poisson_mean(2.0, 2) == math.inf
+    # A mean whose first terms are below the least double.
+    assert math.isclose(capped_mean(poisson_mean(900.0, 1000), 1000), 900.0, rel_tol=1e-9) and poisson_mean(900.0, 1000) < 1000
+
+
+def test_draws_of_a_large_mean(spark):
+    from lodegraph.llm.mixing import _draws
+
+    got = [r[0] for r in spark.range(400).select(_draws(F.col("id"), F.lit(800.0), F.lit(1000), 3)).collect()]
+    assert abs(sum(got) / 400 - 800) < 6 and max(got) < 1000 and len(set(got)) > 50
+    assert mix_sources(spark.createDataFrame([(1, "a", "s")], "doc_id int, text string, source string"), spark.createDataFrame([], "source string, target_share double, max_repeats int"))[0].count() == 0
 
 
 def test_plan_meets_shares_within_caps():
