@@ -95,10 +95,15 @@ def strong_components(nodes: DataFrame, edges: DataFrame, by: list[str], kinds:
         pairs = pairs.join(known.withColumnRenamed("id", end), [*by, end], "left_semi")
     pairs = _trimmed(materialize(pairs), by, 2)
     sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    small, large = (materialize(pairs.join(sizes.filter(test).select(*by), by, "left_semi")) for test in (F.col("n") <= local_edges, F.col("n") > local_edges))
+    # Sizes are one row per graph; most often none is large, and then nothing is split.
+    sizes = materialize(sizes)
+    if sizes.filter(F.col("n") > local_edges).isEmpty():
+        small, large = pairs, None
+    else:
+        small, large = (materialize(pairs.join(sizes.filter(test).select(*by), by, "left_semi")) for test in (F.col("n") <= local_edges, F.col("n") > local_edges))
     shape = pairs.select(*by, F.col("source").alias("id"), F.col("source").alias("component")).schema
     found = small.groupBy(*by).applyInPandas(_local_components(by), shape)
-    while not large.isEmpty():
+    while large is not None and not large.isEmpty():
         part, large = _coloured(large, by)
         found = found.unionByName(part)
     sizes = found.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

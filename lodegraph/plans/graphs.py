@@ -44,23 +44,42 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "edges")
 
 
-def final(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return graph.finalize(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), BY)
+_kept: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def forget() -> None:
+    """Make kept tables anew when they are needed next."""
+    _kept.clear()
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """When the tables were written and how large they are: a changed folder gives no kept table."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for name in ("nodes", "edges"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        summary, status = system.getContentSummary(path), system.getFileStatus(path)
+        found.append(f"{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}")
+    return ",".join(found)
 
 
 def _once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that many queries pass over is made once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key not in _kept:
         _kept[key] = materialize(make())
     return _kept[key]
 
 
 def edges_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once("edges", spark, sf_dir, lambda: final(spark, sf_dir)[1])
+    return _once("edges", spark, sf_dir, lambda: graph.first_edges(edges_of(spark, sf_dir), BY))
+
+
+def final(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The final graph: both tables are made once, as many queries pass over them."""
+    edges = edges_final(spark, sf_dir)
+    return _once("nodes", spark, sf_dir, lambda: graph.finalize(nodes_of(spark, sf_dir), edges, BY)[0]), edges
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
