@@ -125,5 +125,11 @@ t AS (SELECT u.repo, u.path, line, coalesce(file, 'ext:' || u.space) AS target F
     "extension_owners": "SELECT ext, count(DISTINCT language) AS owners FROM (SELECT language, lower(unnest(extensions)) AS ext FROM lang_rules) GROUP BY ext",
     "crate_roll_up": "SELECT repo, parent AS id, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT repo, id, parent, loc FROM nodes QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY seen_at DESC, parent DESC NULLS LAST, loc DESC NULLS LAST) = 1) WHERE parent IS NOT NULL GROUP BY ALL",
     "collapsed_edges": _BASE + f", x AS (SELECT repo, id, {_DIR} AS file FROM n0) SELECT e.repo, coalesce(a.file, source) AS source, coalesce(b.file, target) AS target, kind, min(line) AS line FROM e LEFT JOIN x a ON a.repo = e.repo AND a.id = source LEFT JOIN x b ON b.repo = e.repo AND b.id = target WHERE coalesce(a.file, source) <> coalesce(b.file, target) GROUP BY ALL",
+    "link_kinds": (_FILES % r"\.(md|markdown)$") + r"""
+k AS (SELECT DISTINCT repo, path, unnest(list_transform(regexp_extract_all(text, '(.?)\[[^\]]*\]\([^()\s]+[^()]*\)'), lambda m: CASE WHEN NOT starts_with(m, '!') THEN regexp_extract(m, '\[[^\]]*\]\(([^()\s]+)', 1) END)) AS link FROM f),
+t AS (SELECT *, regexp_replace(link, '[#?].*$', '') AS target FROM k WHERE link IS NOT NULL),
+n AS (SELECT *, array_to_string(list_filter(string_split(CASE WHEN starts_with(target, '/') THEN target ELSE CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END || '/' || target END, '/'), lambda x: x <> '' AND x <> '.'), '/') AS far FROM t)
+SELECT n.repo, n.path, link, CASE WHEN regexp_matches(link, '^[a-zA-Z][\w+.-]*:') THEN 'external' WHEN starts_with(link, '#') THEN 'local' WHEN f.path IS NULL THEN 'broken' WHEN regexp_matches(lower(far), '\.(md|markdown)$') THEN 'doc' ELSE 'local' END AS kind
+FROM n LEFT JOIN f ON f.repo = n.repo AND f.path = far""",
     "root_files": _BASE + "SELECT repo, crate, min({'r': CASE WHEN regexp_matches(path, '(^|/)lib\\.rs$') THEN 0 WHEN regexp_matches(path, '(^|/)main\\.rs$') THEN 1 ELSE 2 END, 'path': path}).path AS path FROM n1 WHERE crate IS NOT NULL GROUP BY ALL",
 }

@@ -206,7 +206,14 @@ SELECT DISTINCT * FROM (
 ) WHERE parent_key IS NOT NULL AND item_key IS NOT NULL
 """
 
+_NODES = (
+    _P7[: _P7.index("c AS (SELECT snap_id, k, unnest(cs)")]
+    + f"""n AS (SELECT snap_id, language, name AS level, unnest(ns) AS n, CAST(generate_subscripts(ns, 1) - 1 AS INTEGER) AS place FROM (SELECT snap_id, language, name, list_filter({_listed("(o -> 'nodes')")}, lambda x: coalesce(json_type(x), 'NULL') <> 'NULL') AS ns FROM g))
+SELECT DISTINCT snap_id, language, level, place, n ->> 'id' AS node, n ->> 'kind' AS kind, n ->> 'name' AS name, n ->> 'parent' AS parent, TRY_CAST(n ->> 'loc' AS BIGINT) AS loc FROM n"""
+)
+
 ORACLE = {
+    "p7_nodes": _NODES,
     "p3_found": _P3,
     "p7_found": _P7,
     "p2_found": _P2 + "SELECT node_key FROM e WHERE node_key NOT IN (SELECT node_key FROM t)",

@@ -184,6 +184,7 @@ ORACLE = {
     "reachable": _BASE + ", w AS (SELECT repo, id FROM n0 WHERE kind = 'module' UNION SELECT w.repo, e.target FROM w JOIN e ON e.repo = w.repo AND e.source = w.id AND e.kind = 'uses') SELECT repo, id FROM w",
     "present_columns": _BASE + "SELECT repo, unnest(['kind', 'external', 'crate', 'visibility', 'items']) AS column, unnest([count(kind), count(external), count(crate), count(visibility), count(items)]) AS rows FROM n0 GROUP BY repo",
     "used_roots": _BASE + "SELECT DISTINCT repo, root FROM (SELECT repo, regexp_extract(id, '^\\{([^}]+)\\}', 1) AS root FROM n0 UNION ALL SELECT repo, 'target' FROM n0) WHERE root <> ''",
+    "abbreviations": _BASE + "SELECT repo, id, CASE WHEN hk >= 1e9 THEN regexp_replace(printf('%.1f', round(hk / 1e9, 1)), '\\.0$', '') || 'B' WHEN hk >= 1e6 THEN regexp_replace(printf('%.1f', round(hk / 1e6, 1)), '\\.0$', '') || 'M' WHEN hk >= 1e3 THEN regexp_replace(printf('%.1f', round(hk / 1e3, 1)), '\\.0$', '') || 'K' WHEN hk = floor(hk) THEN printf('%.0f', hk) ELSE regexp_replace(printf('%.2f', hk), '0$', '') END AS shown FROM me WHERE hk IS NOT NULL",
     "disjoint_ids": _BASE + "SELECT id FROM n1 WHERE NOT ext GROUP BY id HAVING count(DISTINCT repo) > 1",
     "markdown_metrics": r"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM documents WHERE regexp_matches(lower(path), '\.(md|markdown)$')),
