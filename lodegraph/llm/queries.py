@@ -109,6 +109,7 @@ ORACLE = {
 WITH k AS (SELECT doc_id, text, {sql_form("text")} AS form FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
 """,
+    "p10_canonical": f"SELECT doc_id, text, min(text) OVER (PARTITION BY form) AS canonical_text FROM (SELECT doc_id, text, {sql_form('text')} AS form FROM documents)",
     "p8_found": r"""
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 p AS (
