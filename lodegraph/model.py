@@ -34,6 +34,7 @@ DERIVED = (
     Metric("mi", "171.0 - 5.2 * ln(volume) - 0.23 * cyclomatic - 16.2 * ln(span_sloc)", higher_better=True, group="maintainability"),
     Metric("mi_sei", "171.0 - 5.2 * log2(volume) - 0.23 * cyclomatic - 16.2 * log2(span_sloc) + 50.0 * sin(sqrt(cloc / span_sloc * 2.4))", higher_better=True, group="maintainability"),
 )
+# The coupling metric, its counts, the line counts, the metrics with a mean, the kinds of cycles.
 HK = Metric("hk", "sloc * pow(fan_in * fan_out, 2.0)", group="coupling")
 COUPLING = ("fan_in", "fan_out", "fan_out_external")
 #: Counts that say something only about a file with code.

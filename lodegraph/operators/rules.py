@@ -41,6 +41,7 @@ def threshold_violations(df: DataFrame, by: list[str], limits: dict[str, float])
     rows = long_values(df.filter(~is_external()), [*by, "id"], sorted(limits))
     bound = F.element_at(F.create_map(*[x for k, v in sorted(limits.items()) for x in (F.lit(k), F.lit(float(v)))]), F.col("metric"))
     rows = rows.withColumn("bound", bound).filter("value > bound")
+    # The wording of the message.
     whole = (F.col("value") == F.floor("value")) & (F.col("bound") == F.floor("bound"))
     ratio = F.when(F.col("bound") > 0, F.col("value") / F.col("bound")).otherwise(float("inf"))
     number = lambda c: F.when(whole, F.format_string("%.0f", c)).otherwise(F.format_string("%.2f", c))
@@ -56,7 +57,7 @@ def apply_budgets(groups: DataFrame, budgets: dict[str, int | None]) -> DataFram
 
 
 def cycle_message(kind: Column, nodes: Column, size: Column) -> Column:
-    """The first four members of a cycle in words."""
+    """The first four members of a cycle in words (fixed values: the wording)."""
     shown = F.slice(nodes, F.lit(1), F.lit(4))
     tail = F.when(size > 4, F.concat(F.lit(" → … ("), size.cast("string"), F.lit(" nodes total)"))).otherwise(F.lit(" → (back to start)"))
     return F.when(kind == "mutual", F.concat(F.lit("mutual cycle between "), F.array_join(shown, " ↔ "))).otherwise(F.concat(F.lit("chain cycle: "), F.array_join(shown, " → "), tail))

@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from html import escape
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -50,6 +51,7 @@ def _number(weight: float) -> float | None:
     return weight if weight == weight and abs(weight) != float("inf") else None
 
 
+# Fixed values below: the keys of SARIF and of code quality reports, the syntax of annotations.
 def sarif(violations: DataFrame, tool: str = "lodegraph", top: int | None = None, language: str = "") -> str:
     """SARIF 2.1.0: each rule once; results with a fingerprint of language, rule and location."""
     rules = [{"id": r["rule"], "properties": {"group": r["rule_group"]}, "fullDescription": {"text": r["why"] or r["rule"]}} for r in sarif_rules(violations).orderBy("rule").collect()]
@@ -110,6 +112,16 @@ def suggested_config(most: Iterable[Row], counts: dict[str, int]) -> str:
     return "\n".join([*lines, *(f"{r['metric']} = {r['most']:g}" for r in sorted(most, key=lambda r: r["metric"]))]) + "\n"
 
 
+def write(text: str, target: str) -> None:
+    """A document into a file, whose folders are made, or for "stdout" and "-" onto the screen."""
+    if target in ("stdout", "-"):
+        print(text)
+        return
+    path = Path(target)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text, "utf-8")
+
+
 def file_name(template: str, *, project: str = "project", commit: str = "", at: datetime | None = None) -> str:
     """A name with {project-dir}, {ts}, {git-hash} and {git-hash-N} filled in."""
     import re
