@@ -49,6 +49,15 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(spark, docs, items, radius=3) == expected
 
 
+def test_more_item_windows_than_a_bitmap_serves(spark, monkeypatch):
+    from lodegraph.llm import leakage
+
+    monkeypatch.setattr(leakage, "MAP_WINDOWS", 0)
+    item = " ".join(WORDS[:30])
+    docs = [(1, " ".join(WORDS[:8])), (2, " ".join(WORDS[8:30])), (3, " ".join(WORDS[:14])), (4, " ".join(["filler"] * 50 + WORDS[5:25])), (5, "")]
+    assert leaks(spark, docs, [(7, item), (8, "w1 w2 w3")]) == {(2, 7), (4, 7), (1, 8), (3, 8)}
+
+
 def test_windows_cross_no_documents_and_long_texts_are_whole(spark):
     item = " ".join(WORDS[:30])
     long = " ".join(["filler"] * 80_000 + WORDS[5:25] + ["filler"] * 10)
